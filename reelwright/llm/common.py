@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: White space of the word patterns: words are the maximal runs of other characters.
-SPACE = " \\t\\n\\x0B\\f\\r"
+#: White space of the word patterns, as it stands in a literal of Spark SQL: words are the maximal runs of other characters.
+SPACE = " \\u0009\\u000A\\u000B\\u000C\\u000D"
 
 
 def shared_dir(spark: SparkSession) -> str:

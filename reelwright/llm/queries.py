@@ -6,26 +6,90 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.llm import bpe, token_counts
+from reelwright.llm import bpe, chat, mixing, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = bpe.encode(_table(spark, sf_dir, "documents"), path)
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode("ids", path).cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
 QUERIES = {
+    "op1_perspectives": op1_perspectives,
     "op2_token_counts": op2_token_counts,
+    "op5_quality": op5_quality,
     "op6_bpe_round_trip": op6_bpe_round_trip,
+    "op7_mixing": op7_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_perspectives": """
+        WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS part FROM conversations),
+        s AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
+        p AS (SELECT r.conv_id, part, speaker, turn, role, text, coalesce(role = speaker, false) AS own,
+                     CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
+                          ELSE '<|user name=' || coalesce(role, 'unknown') || '|>' || chr(10) END AS head
+              FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+        q AS (SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text
+                     ROWS UNBOUNDED PRECEDING) - length(text) - 8 AS pos FROM p)
+        SELECT conv_id, part, speaker, count(*) AS n_messages, count(*) FILTER (own) AS n_own,
+               string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered,
+               coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(text) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (own), '') AS mask
+        FROM q GROUP BY conv_id, part, speaker""",
+    "op5_quality": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                     list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d),
+        n AS (SELECT doc_id, text, words, lines, len(words) AS n_words,
+                     list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS wins FROM w),
+        g AS (SELECT doc_id, unnest(wins) AS win, unnest(range(1, len(wins) + 1)) AS pos FROM n),
+        f AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS often FROM g),
+        r AS (SELECT doc_id, sum(least(3, coalesce(nxt - pos, 3))) AS n_repeat_words
+              FROM (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM f WHERE often > 1) GROUP BY doc_id),
+        m AS (SELECT n.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, length(text) AS n_chars,
+                     length(regexp_replace(text, '\P{Lu}', '', 'g')) AS n_upper
+              FROM n LEFT JOIN r ON n.doc_id = r.doc_id)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 100 * n_upper > 45 * n_chars
+                    OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+        FROM m""",
+    "op7_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(source, '') || '/' || coalesce(text, '')), 1, 15) AS h FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+        c AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 3.0::DOUBLE AS cap FROM s),
+        l AS (SELECT max((total - caps) / weights) AS level FROM (SELECT (sum(source_size) OVER ())::DOUBLE AS total,
+                     (sum(cap) OVER (ORDER BY cap / w, k) - cap)::DOUBLE AS caps, (sum(w) OVER () - sum(w) OVER (ORDER BY cap / w, k) + w)::DOUBLE AS weights FROM c)),
+        t AS (SELECT source, source_size, least(cap, level * w) AS target FROM c, l),
+        b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM t),
+        g AS (SELECT source, h, sum(size) AS words FROM d GROUP BY source, h),
+        x AS (SELECT source, h, sum(words) OVER (PARTITION BY source ORDER BY h) - words / 2 AS middle FROM g)
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (copies + CASE WHEN middle <= target - copies * source_size AND target > copies * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.h = d.h""",
+}
