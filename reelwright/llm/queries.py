@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.llm import bpe, chat, mixing, quality, token_counts
+from reelwright.llm import bpe, chat, mixing, quality, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(_table(spark, sf_dir, "documents"), words=3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archived(spark, _table(spark, sf_dir, "pages"), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,6 +50,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_perspectives": op1_perspectives,
     "op2_token_counts": op2_token_counts,
+    "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_mixing": op7_mixing,
@@ -59,6 +71,12 @@ ORACLE_SQL: dict[str, str] = {
                string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered,
                coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(text) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (own), '') AS mask
         FROM q GROUP BY conv_id, part, speaker""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        q AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM q)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < keeper THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < keeper THEN keeper END AS refers_to FROM m""",
     "op5_quality": r"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
