@@ -7,6 +7,7 @@ they recur far more often than words), and the results are concatenated.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from array import array
@@ -98,35 +99,57 @@ class Encoder(dict):
         return b"".join(out)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id_col, n_tokens and ids (binary, little-endian unsigned 32-bit).
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: what it remembers serves all tasks that the worker runs."""
+    return Encoder(path, inner_pairs(path))
 
-    A null text is encoded as an empty one, to no ids. Null ids stay, repeated rows are encoded each, other columns are
-    not returned, an empty table gives an empty one; texts of any length are encoded whole.
+
+@functools.cache
+def strings(path: str) -> list[str]:
+    """The vocabulary's strings by id."""
+    vocab = tokenizer(path).get_vocab(with_added_tokens=True)
+    out = [""] * (max(vocab.values()) + 1)
+    for k, v in vocab.items():
+        out[v] = k
+    return out
+
+
+def decoded(ids: bytes, path: str) -> str:
+    """Token strings joined by a space, as the library's decode() does for a vocabulary without a decoder."""
+    return " ".join(map(strings(path).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: id_col, the columns in keep, n_tokens, ids (binary, little-endian unsigned 32-bit) and, with
+    decode, decoded: the text that these ids decode to, made by the same worker.
+
+    A null text is encoded as an empty one, to no ids and back to an empty text. Null ids stay, repeated rows are
+    encoded each, other columns are not returned, an empty table gives an empty one; texts of any length are encoded
+    whole.
     """
-    inner = docs.sparkSession.sparkContext.broadcast(inner_pairs(path))
+    kept = (id_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, inner.value)
+        to_ids = encoder(path).ids
         for batch in batches:
-            ids = [encoder.ids(v.as_py() or "") for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+            ids = [to_ids(v.as_py() or "") for v in batch.column(0)]
+            out = {f"k{i}": batch.column(i + 1) for i in range(len(kept))} | {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            if decode:
+                out["decoded"] = pa.array([decoded(x, path) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids binary")
-    return out.withColumnRenamed("id", id_col)
+    named = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)]
+    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
+    out = docs.select(F.col(f"`{text_col}`").alias("text"), *named).mapInArrow(run, f"{kinds}, n_tokens long, ids binary" + ", decoded string" * decode)
+    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(kept)})
 
 
 def decode(ids: F.Column | str, path: str):
-    """A column of text from a column of packed ids: token strings joined by a space, as the library's decode() does
-    for a vocabulary without a decoder. Null ids decode to null, no ids to an empty text."""
+    """A column of text from a column of packed ids. Null ids decode to null, no ids to an empty text."""
 
     @F.pandas_udf("string")
     def text(packed):
-        vocab = tokenizer(path).get_vocab(with_added_tokens=True)
-        strings = [""] * (max(vocab.values()) + 1)
-        for k, v in vocab.items():
-            strings[v] = k
-        return packed.map(lambda b: None if b is None else " ".join(map(strings.__getitem__, np.frombuffer(b, "<u4").tolist())))
+        return packed.map(lambda b: None if b is None else decoded(b, path))
 
     return text(ids)
