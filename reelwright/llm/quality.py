@@ -142,4 +142,6 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def kept_only(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that no production rule rejects, with the columns of docs."""
-    return cascade(docs, ordered(docs, BASE + FURTHER, text_col), text_col, "q_verdict").filter("q_verdict").drop("q_verdict")
+    judged_ = cascade(docs, ordered(docs, BASE + FURTHER, text_col), text_col, "q_verdict")
+    # the row number keeps the filter above the measures: pushed below, it would compute them anew for every use
+    return judged_.withColumn("q_row", F.monotonically_increasing_id()).filter("q_verdict AND q_row >= 0").drop("q_verdict", "q_row")
