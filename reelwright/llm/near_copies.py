@@ -1,0 +1,175 @@
+"""Near copies by wide SimHashes: the pigeonring filter of :mod:`simhash` where fingerprints may differ in many bits.
+
+Documents that share four fifths of their five-word shingles differ in about every 45th word, which turns over a tenth
+of the bits of a SimHash over shingles. Over words, each weighted by the root of how often it occurs, far fewer bits
+turn and unrelated documents stay far away: with 128 bits, similarities of 0.8 and more lie within 10 bits.
+
+The ring then has 11 segments, so budgets are 0, 1, 2, ... bits for chains of 1, 2, 3, ... segments. A fingerprint goes
+to one bucket for each segment with its successor as it is and with each bit of it flipped; two fingerprints within 10
+bits meet in one. A bucket yields links that connect what is linked in it, not all its pairs.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reelwright.llm.common import stored
+from reelwright.llm.components import connected_components
+
+WORDS64, MOST = 2, 10
+SEGMENTS = MOST + 1
+#: Bounds of the segments within the 128 bits.
+EDGES = [round(i * 64 * WORDS64 / SEGMENTS) for i in range(SEGMENTS + 1)]
+#: Fingerprints that a task compares in one bucket; larger buckets are dealt out by pairs of parts.
+LARGE = 20_000
+#: Buckets up to this size are compared all at once with those beside them.
+_SMALL = 12
+
+
+def fingerprint(text: bytes, seed: int = 42) -> bytes:
+    """128 bits, a bit being 1 if words of more than half the weight have it; all 0 without words."""
+    counts = Counter(text.lower().split())
+    if not counts:
+        return bytes(8 * WORDS64)
+    weights = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+    bits = []
+    for k in range(WORDS64):
+        total = np.zeros(64)
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed + k) for w in counts], ">u8")
+        for at in range(0, len(hashes), 1 << 14):
+            part = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1)
+            total += weights[at : at + (1 << 14)] @ part
+        bits.append(np.packbits(2 * total > weights.sum()).tobytes())
+    return b"".join(bits)
+
+
+def bucket_keys(prints: np.ndarray) -> np.ndarray:
+    """A row of keys for each fingerprint (rows of big-endian 64-bit words): its buckets."""
+    bits = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(len(prints), -1), axis=1).astype(np.int64)
+    out = []
+    for i in range(SEGMENTS):
+        j = (i + 1) % SEGMENTS
+        both = np.concatenate([bits[:, EDGES[i] : EDGES[i + 1]], bits[:, EDGES[j] : EDGES[j + 1]]], axis=1)
+        width = EDGES[j + 1] - EDGES[j]
+        key = both @ (1 << np.arange(both.shape[1] - 1, -1, -1, dtype=np.int64)) + (i << 32)
+        out += [key, *(key ^ (1 << b) for b in range(width))]
+    return np.stack(out, axis=1)
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def spanning_links(prints: np.ndarray, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (from a search of the graph of fingerprints within MOST bits) that connect each of its components."""
+    links, rest = [], np.arange(len(prints))
+    while len(rest) > 1:
+        frontier, rest = rest[:1], rest[1:]
+        while len(frontier) and len(rest):
+            found = np.full(len(rest), -1)
+            for at in range(0, len(frontier), 64):
+                open_ = np.flatnonzero(found < 0)
+                near = _differ(prints[rest[open_], None], prints[None, frontier[at : at + 64]]) <= MOST
+                hit = near.any(axis=1)
+                found[open_[hit]] = frontier[at + near[hit].argmax(axis=1)]
+            new = found >= 0
+            links += zip(rest[new].tolist(), found[new].tolist(), strict=True)
+            frontier, rest = rest[new], rest[~new]
+    return links
+
+
+def _links_of(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Pairs of row numbers linked within the runs of equal keys."""
+    begin = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1) != 0)
+    sizes = np.diff(begin, append=len(keys))
+    out = [np.empty((0, 2), np.int64)]
+    small = np.repeat(sizes <= _SMALL, sizes)
+    for step in range(1, _SMALL):
+        a = np.flatnonzero((keys[:-step] == keys[step:]) & small[:-step])
+        if not len(a):
+            break
+        a = a[_differ(prints[a], prints[a + step]) <= MOST]
+        out.append(np.stack([a, a + step], axis=1))
+    for at, n in zip(begin[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+        if found := spanning_links(prints[at : at + n]):
+            out.append(np.array(found) + at)
+    return np.concatenate(out)
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links between distinct fingerprints (hi, lo) that connect all within MOST bits; a and b are binary."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = np.stack([c.to_numpy().view(np.uint64) for c in batch.slice(at, 2000).columns], axis=1)
+                keys = bucket_keys(part)
+                rows = np.repeat(part, keys.shape[1], axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["key", "hi", "lo"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(t: np.ndarray) -> pa.RecordBatch:
+            pairs = _links_of(t[:, 0], t[:, 1:].view(np.uint64))
+            names = [np.ascontiguousarray(t[pairs[:, side], 1:]).astype(">i8") for side in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()) for x in names], ["a", "b"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            if held[0][0, 0] != held[-1][-1, 0] and sum(map(len, held)) >= 50_000:
+                rows = np.concatenate(held)
+                last = int(np.searchsorted(rows[:, 0] == rows[-1, 0], True))  # sorted by key: where the last bucket begins
+                yield linked(rows[:last])
+                held = [rows[last:]]
+        if held:
+            yield linked(np.concatenate(held))
+
+    dealt = stored(distinct.select("hi", "lo").mapInArrow(deal, "key long, hi long, lo long"), "near-buckets")
+    large = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE).select(F.col("key").alias("k"), F.ceil(F.col("n") / (LARGE // 2)).cast("long").alias("parts")), "near-large")
+    if not large.isEmpty():
+        # each pair of parts of a large bucket is a bucket of its own; links between the parts come from all such pairs
+        sized = dealt.join(large, F.col("key") == F.col("k"), "left").withColumn("p", F.pmod(F.xxhash64("hi", "lo"), F.coalesce("parts", F.lit(1))))
+        pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64(F.col("key"), F.least("p", q), F.greatest("p", q)))
+        dealt = sized.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(F.array_distinct(pair))).alias("key"), "hi", "lo")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a binary, b binary")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component) per row of docs: component is the smallest id that links lead to, its own included.
+
+    Copies share a fingerprint and are compared once. Null and empty texts have the fingerprint 0, and so are one
+    group. Null ids are ignored where smallest ids are sought. Repeated rows stay; an empty table gives an empty one;
+    texts of any length are read whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.frombuffer(b"".join(fingerprint(v.as_py() or b"") for v in batch.column(1)), ">i8").astype(np.int64).reshape(-1, WORDS64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0]), pa.array(fps[:, 1])], ["id", "hi", "lo"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    marked = stored(read.mapInArrow(run, f"id {kind}, hi long, lo long"), "near-prints")
+    distinct = stored(marked.groupBy("hi", "lo").agg(F.min("id").alias("smallest")), "near-distinct")
+    node = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
+    roots = stored(connected_components(links(distinct)), "near-roots")
+    named = distinct.select("hi", "lo", "smallest", node.alias("name"))
+    grouped = named.join(roots, F.col("name") == F.col("node")).groupBy("root").agg(F.min("smallest").alias("lowest"))
+    lowest = roots.join(grouped, "root").select("node", "lowest")
+    final = named.join(lowest, F.col("name") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("lowest", "smallest").alias("component"))
+    final = stored(final, "near-components")
+    return marked.join(final, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select(F.col("id").alias(id_col), "component")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of docs with the smallest id of each component (one of those that repeat it), and the rows without an id."""
+    keep = components(docs, id_col, text_col).filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id_")).distinct()
+    named = docs.filter(F.col(f"`{id_col}`").isNotNull()).join(keep, F.col(f"`{id_col}`") == F.col("kept_id_"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.llm import bpe, chat, mixing, pii, quality, simhash, suffixes, token_counts, warc
+from reelwright.llm import bpe, chat, cover_tree, mixing, pii, quality, simhash, suffixes, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.linked(_table(spark, sf_dir, "embeddings")).withColumnRenamed("component", "component_id")
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicate(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_mixing": op7_mixing,
+    "op8_cover_tree": op8_cover_tree,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
 }

@@ -91,10 +91,3 @@ def components(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     final = stored(distinct.join(linked, "fp", "left").select(F.col("fp").alias("f"), F.coalesce("lowest", "smallest").alias("component")), "fingerprint-components")
     return marked.join(final, F.col("fp") == F.col("f")).select(id_col, "fp", "component")
 
-
-def deduplicated(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with the smallest id of their component, and those without an id; one of repeated rows."""
-    # null ids are in no component's minimum: nothing stands for them, so they stay
-    keep = components(docs.select(id_col, text_col), words, id_col, text_col).filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id_")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("kept_id_"), "left_semi").dropDuplicates([id_col])
-    return named.union(docs.filter(F.col(id_col).isNull()))
