@@ -62,8 +62,12 @@ def links(distinct: DataFrame) -> DataFrame:
     # a chain of two segments, with the number of the first: budgets 0 and 1
     chain = [F.shiftleft(segment(i), WIDTH).bitwiseOR(segment(i + 1)).bitwiseOR(F.lit(i << 2 * WIDTH)) for i in range(SEGMENTS)]
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << j).cast("long") for j in range(WIDTH)])
+
+    def flipped(c: F.Column) -> F.Column:
+        return F.transform(flips, lambda f: c.bitwiseXOR(f))
+
     left = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*chain)).alias("key"))
-    right = distinct.select(F.col("fp").alias("b"), F.explode(F.flatten(F.array(*[F.transform(flips, lambda f, c=c: c.bitwiseXOR(f)) for c in chain]))).alias("key_b"))
+    right = distinct.select(F.col("fp").alias("b"), F.explode(F.flatten(F.array(*map(flipped, chain)))).alias("key_b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
     # the chain of three: all but the segment before the first
     start = F.shiftright("key", 2 * WIDTH).cast("int")
