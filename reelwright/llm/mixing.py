@@ -82,7 +82,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     ends = F.col("prefix") + (F.col("before") + F.col("words") / 2 <= F.col("budget")).cast("long")
     found = state.select("s", ends.alias("below"))
     return goals.join(found, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "copies", F.coalesce("below", F.lit(0).cast("long")).alias("below")
+        "source", "source_size", "target", "copies", F.when(F.col("budget") > 0, F.coalesce("below", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")).alias("below")
     )
 
 

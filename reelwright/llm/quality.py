@@ -116,19 +116,20 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text") ->
 def cascade(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", verdict: str = "kept", out: tuple[str, ...] = ()) -> DataFrame:
     """docs with a boolean column verdict, false where a rule rejects, and the measures named in out (of every row).
 
-    A null text is an empty one. A column of docs that is already called like verdict or a measure in out is replaced;
-    columns called q_<measure> are reserved. Repeated rows are judged each, ties can't arise, an empty table gives an
-    empty one. Texts of any length are measured whole.
+    A null text is an empty one. A column of docs that is already called like verdict or a measure in out is replaced.
+    Repeated rows are judged each, ties can't arise, an empty table gives an empty one. Texts of any length are
+    measured whole.
     """
     own = [c for c in docs.columns if c != verdict and c not in out]
-    df = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("q_text_"))
+    # under names of their own meanwhile, so that none can clash with a measure
+    df = docs.select(*[F.col(f"`{c}`").alias(f"own{i}") for i, c in enumerate(own)], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("q_text_"))
     for name in out:
         df = _measured(df, [m for m in MEASURES if m in (*NEEDS.get(name, ()), name)])
     df = df.withColumn("q_alive", F.lit(True))
     for rule in rules:
         df = _measured(df, rule.needs(), "q_alive")
         df = df.withColumn("q_alive", F.expr(f"CASE WHEN q_alive THEN NOT coalesce({_names(rule.rejects)}, false) ELSE false END"))
-    return df.select(*[F.col(f"`{c}`") for c in own], *[F.col(f"q_{m}").alias(m) for m in out], F.col("q_alive").alias(verdict))
+    return df.select(*[F.col(f"own{i}").alias(c) for i, c in enumerate(own)], *[F.col(f"q_{m}").alias(m) for m in out], F.col("q_alive").alias(verdict))
 
 
 def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -142,6 +143,8 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def kept_only(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that no production rule rejects, with the columns of docs."""
-    judged_ = cascade(docs, ordered(docs, BASE + FURTHER, text_col), text_col, "q_verdict")
+    longest = max(map(len, docs.columns))
+    verdict, row = "q" * (longest + 1), "r" * (longest + 1)  # names that docs doesn't have
+    judged_ = cascade(docs, ordered(docs, BASE + FURTHER, text_col), text_col, verdict)
     # the row number keeps the filter above the measures: pushed below, it would compute them anew for every use
-    return judged_.withColumn("q_row", F.monotonically_increasing_id()).filter("q_verdict AND q_row >= 0").drop("q_verdict", "q_row")
+    return judged_.withColumn(row, F.monotonically_increasing_id()).filter(f"{verdict} AND {row} >= 0").drop(verdict, row)

@@ -75,7 +75,7 @@ class _Archive:
         self.files, root = fs.FileSystem.from_uri(folder)
         self.files.create_dir(root, recursive=True)
         self.path, self.size, self.records = f"{root}/{name}.warc.zst", 0, 0
-        self.out = self.files.open_output_stream(self.path)
+        self.out = self.files.open_output_stream(self.path, compression=None)  # by its name, the whole file would be compressed again
         self.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
         self.zstd = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
@@ -138,7 +138,7 @@ def read_archives(manifest: DataFrame, folder: str, id_type: str = "long", paylo
 
     def records(path: str) -> Iterator[bytes]:
         files, _ = fs.FileSystem.from_uri(folder)
-        with files.open_input_stream(path) as stream:
+        with files.open_input_stream(path, compression=None) as stream:
             magic, length = struct.unpack("<II", stream.read(8))
             dictionary = stream.read(length)
             if magic != SKIPPABLE:
