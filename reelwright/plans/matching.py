@@ -167,20 +167,20 @@ def chunk_similarity_mean(spark, sf):
     return sliced.select("vec_id", F.size("s").cast("long").alias("slices"), F.round(F.aggregate("s", F.lit(0.0), lambda n, x: n + x) / F.size("s"), 6).alias("similarity"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k, list_transform(embedding[1:2], lambda x: x::DOUBLE) AS v FROM embeddings),
-n AS (SELECT label, max(k) AS m FROM c GROUP BY label),
-p AS (SELECT a.label, a.k AS i, b.k AS j, abs(a.v[1] - b.v[1]) + abs(a.v[2] - b.v[2]) AS d FROM c a JOIN c b ON a.label = b.label AND a.k <= 12 AND b.k > 12 AND b.k <= 24),
-g AS (SELECT label, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::BIGINT AS j FROM n
- UNION ALL SELECT g.label, g.i + 1, CASE WHEN b.j IS NULL THEN g.used ELSE list_append(g.used, b.j) END, b.j FROM g JOIN n USING (label)
- LEFT JOIN LATERAL (SELECT arg_min(p.j, struct_pack(d := p.d, j := p.j)) AS j FROM p WHERE p.label = g.label AND p.i = g.i + 1 AND NOT list_contains(g.used, p.j)) b ON true WHERE g.i < least(12, m))
-SELECT g.label, a.vec_id AS item, b.vec_id AS assigned FROM g JOIN c a ON a.label = g.label AND a.k = g.i JOIN c b ON b.label = g.label AND b.k = g.j WHERE g.i > 0""")
+@query("""WITH RECURSIVE c AS (SELECT o_custkey, o_orderkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+a AS (SELECT o_custkey, k, v, (n + 1) // 2 AS i FROM c WHERE n % 2 = 1), b AS (SELECT o_custkey, list(struct_pack(k := k, v := v) ORDER BY k) AS free FROM c WHERE n % 2 = 0 GROUP BY 1),
+g AS (SELECT o_custkey, 0::BIGINT AS i, NULL::BIGINT AS item, NULL::BIGINT AS assigned, free FROM b
+ UNION ALL SELECT o_custkey, i, item, best.k, list_filter(free, lambda x: x.k <> best.k) FROM (SELECT g.o_custkey, a.i, a.k AS item, g.free, list_sort(list_transform(g.free, lambda x: struct_pack(d := abs(a.v - x.v), k := x.k)))[1] AS best
+ FROM g JOIN a ON a.o_custkey = g.o_custkey AND a.i = g.i + 1) WHERE best IS NOT NULL)
+SELECT o_custkey, item, assigned FROM g WHERE i > 0""")
 def greedy_assignment(spark, sf):
-    """In each label, the first twelve vectors choose in turn the nearest of the next twelve that is still free."""
+    """Every other order of a customer chooses in turn, of the orders between, the one of the nearest price that is free."""
     from reelwright.operators import assign
 
-    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
-    v = table(spark, sf, "embeddings").select("label", "vec_id", k.alias("k"), F.slice("embedding", 1, 2).cast("array<double>").alias("v"))
-    return assign.greedy(v.filter("k <= 12"), v.filter("k > 12 AND k <= 24"), "label", "vec_id", lambda a, b: F.abs(a["v"][0] - b["v"][0]) + F.abs(a["v"][1] - b["v"][1]))
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("v"), n.alias("n"))
+    cost = lambda a, b: F.abs(a["v"] - b["v"])
+    return assign.greedy(o.filter("n % 2 = 1").drop("n"), o.filter("n % 2 = 0").drop("n"), "o_custkey", "o_orderkey", cost)
 
 
 @query("""WITH s AS (SELECT event_type AS issue, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS side, event_id AS place, CASE WHEN value < 1 THEN -1.0::DOUBLE ELSE least(value, 100.0::DOUBLE) END AS score FROM events),
