@@ -52,11 +52,11 @@ def selection_rollup(spark, sf):
 
 
 @query("""WITH u AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([1, 2, 3, 4]) AS code, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS v FROM lineitem),
-w AS (SELECT l_orderkey, l_linenumber, code, arg_max(v, struct_pack(p := l_partkey, s := l_suppkey)) AS v FROM u GROUP BY 1, 2, 3)
+w AS (SELECT l_orderkey, l_linenumber, code, arg_max(v, struct_pack(p := l_partkey, s := l_suppkey, v := v)) AS v FROM u GROUP BY 1, 2, 3)
 SELECT l_orderkey, l_linenumber, max(v) FILTER (code = 1) AS quantity, max(v) FILTER (code = 2) AS price, max(v) FILTER (code = 3) AS discount, max(v) FILTER (code = 4) AS tax FROM w GROUP BY 1, 2""")
 def eav_pivot(spark, sf):
     """Attribute rows (code, value) back to columns; the last write of an attribute wins."""
-    lines = _lines(spark, sf).select("l_orderkey", "l_linenumber", F.struct("l_partkey", "l_suppkey").alias("order"), F.expr("stack(4, 1, l_quantity, 2, l_extendedprice, 3, l_discount, 4, l_tax) AS (code, v)"))
+    lines = _lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr("stack(4, 1, l_quantity, 2, l_extendedprice, 3, l_discount, 4, l_tax) AS (code, v)")).withColumn("order", F.struct("l_partkey", "l_suppkey", "v"))  # of equal writes, the larger value
     return logs.pivot_attributes(lines, ["l_orderkey", "l_linenumber"], "order", {1: "quantity", 2: "price", 3: "discount", 4: "tax"})
 
 
