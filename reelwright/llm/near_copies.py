@@ -4,7 +4,8 @@ Documents that share four fifths of their five-word shingles differ in about eve
 of the bits of a SimHash over shingles. Over words, each weighted by the root of how often it occurs, far fewer bits
 turn and unrelated documents stay far away: with 128 bits, most similarities of 0.8 and more lie within 10 bits. Texts
 of under a hundred words can lie further apart (12 and 15 bits were seen), and texts of a lower similarity (0.44 was
-seen) can lie within: links are by fingerprint, and the README has figures.
+seen) can lie within: links are by fingerprint, so no row is dropped by them. :func:`deduplicated`, the stage of the
+pipeline, goes by exact shingle sets (:mod:`shingle_sets`).
 
 The ring then has 11 segments, so budgets are 0, 1, 2, ... bits for chains of 1, 2, 3, ... segments. A fingerprint goes
 to one bucket for each segment with its successor as it is and with each bit of it flipped; two fingerprints within 10
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelwright.llm import shingle_sets
 from reelwright.llm.common import stored
 from reelwright.llm.components import connected_components
 
@@ -171,7 +173,5 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of docs with the smallest id of each component (one of those that repeat it), and the rows without an id."""
-    keep = components(docs, id_col, text_col).filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id_")).distinct()
-    named = docs.filter(F.col(f"`{id_col}`").isNotNull()).join(keep, F.col(f"`{id_col}`") == F.col("kept_id_"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    """One row of docs for each group of near copies, by exact shingle sets: see :func:`shingle_sets.deduplicated`."""
+    return shingle_sets.deduplicated(docs, id_col, text_col)
