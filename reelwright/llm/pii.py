@@ -1,11 +1,11 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that give it away.
 
-The protected entities are the values that the patterns find. A term near an entity discloses it as far as seeing the
-term tells that the entity is there: PMI(term; entity) = log2(p(entity | term) / p(entity)), as a share of the
-entity's information content -log2 p(entity), the most that can be disclosed (Sanchez and Batet, "C-sanitized"). All
-probabilities are shares of the corpus' documents. A term whose share reaches the threshold, and that stands in
-several different contexts of the entity, is marked wherever it stands near it, and generalised when texts are
-sanitised. Everything here is Spark SQL functions and joins.
+The protected entities are the values that the patterns find. A term in the same document as an entity discloses it as
+far as seeing the term tells that the entity is there: PMI(term; entity) = log2(p(entity | term) / p(entity)), as a
+share of the entity's information content -log2 p(entity), the most that can be disclosed (Sanchez and Batet,
+"C-sanitized"). All probabilities are shares of the corpus' documents. A term whose share reaches the threshold, and
+that stands with the entity in several different texts, is marked in every document that holds it, with the entity or
+without, and generalised when texts are sanitised. Everything here is Spark SQL functions and joins.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ PATTERNS = {
 }
 #: What a text must hold at least for its kind to be looked for.
 TRIGGERS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: A term is a run of letters of this length or more, within so many characters on either side of an entity.
-TERM_PATTERN, WINDOW = r"\p{L}{3,}+", 60
-#: The share of an entity's information content that a term may disclose, and the different contexts of the entity that
-#: a term must stand in before anything is concluded from it.
+#: A term is a run of letters outside of all matches, of any length. WINDOW limits nothing: it is the reach of a version
+#: that looked only beside entities, which tests still name.
+TERM_PATTERN, WINDOW = r"\p{L}++", 60
+#: The share of an entity's information content that a term may disclose, and the different texts holding both that are
+#: needed before anything is concluded from a term.
 DISCLOSURE, CONTEXTS = 0.75, 3
 _OPEN, _SHUT, _NEITHER = "\x01", "\x02", "\x03"
 
@@ -40,9 +41,9 @@ def _split_at(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), _OPEN)
 
 
-def _places(parts: Column, add: int | Column = 0) -> Column:
+def _places(parts: Column) -> Column:
     """array<struct<start, value>> of the matches in such parts; offsets count code points."""
-    first = F.struct((F.length(parts[0]) + add).cast("int").alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
+    first = F.struct(F.length(parts[0]).cast("int").alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("found"))
 
     def step(s: Column, part: Column) -> Column:
         match = F.struct(s["at"].alias("start"), F.substring_index(part, _SHUT, 1).alias("value"))
@@ -77,11 +78,27 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), same)
 
 
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stored table with a row per row of docs: pii_id, pii_key (a hash of the text) and pii_found, the matches of all
-    kinds as array<struct<start, rank, end, entity, before, after>>, by start, then kind."""
+def _plain(text_col: str) -> tuple[Column, Column]:
+    """The text (a null one is empty), and the same without the marks used here."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    plain = F.replace(F.replace(text, F.lit(_OPEN), F.lit(_NEITHER)), F.lit(_SHUT), F.lit(_NEITHER))
+    return text, F.replace(F.replace(text, F.lit(_OPEN), F.lit(_NEITHER)), F.lit(_SHUT), F.lit(_NEITHER))
+
+
+def _blanked(text: Column, found: Column) -> Column:
+    """The text with every match overwritten, so that offsets stay."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        piece = F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), F.repeat(F.lit(_NEITHER), m["end"] - F.greatest(s["at"], m["start"])))
+        return F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.when(m["end"] > s["at"], piece).otherwise(s["out"]).alias("out"))
+
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(found, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))))
+
+
+def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stored table with a row per row of docs: pii_id, pii_key (a hash of the text), pii_found, the matches of all
+    kinds as array<struct<start, rank, end, entity>>, by start, then kind, and pii_forms, the different terms as written."""
+    text, plain = _plain(text_col)
     df = docs.select(F.col(f"`{id_col}`").alias("pii_id"), F.xxhash64(text).alias("pii_key"), plain.alias("t"))
     df = df.select("*", *[F.when(F.col("t").rlike(TRIGGERS[k]), _split_at(F.col("t"), PATTERNS[k])).alias(f"parts_{k}") for k in KINDS])
     df = df.select("*", *[F.when(F.col(f"parts_{k}").isNotNull(), _places(F.col(f"parts_{k}"))).alias(f"at_{k}") for k in KINDS])
@@ -89,51 +106,62 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def described(kind: str) -> Column:
         def one(m: Column) -> Column:
             end = m["start"] + F.length(m["value"])
-            before = F.substring(F.col("t"), F.greatest(m["start"] - WINDOW, F.lit(0)) + 1, F.least(m["start"], F.lit(WINDOW)))
-            after = F.substring(F.col("t"), end + 1, F.lit(WINDOW))
-            return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("int").alias("end"), _entity(kind, m["value"]).alias("entity"), before.alias("before"), after.alias("after"))
+            return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.cast("int").alias("end"), _entity(kind, m["value"]).alias("entity"))
 
         return F.transform(F.filter(F.col(f"at_{kind}"), lambda m: _valid(kind, m["value"])), one)
 
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,entity:string,before:string,after:string>>")
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,entity:string>>")
     found = F.concat(*[F.coalesce(described(k), empty) for k in KINDS])
-    return stored(df.select("pii_id", "pii_key", F.when(F.coalesce(*[F.col(f"at_{k}") for k in KINDS]).isNotNull(), F.sort_array(found)).otherwise(empty).alias("pii_found")), "pii-marks")
-
-
-def _near_terms(marks: DataFrame) -> DataFrame:
-    """(pii_id, pii_key, entity, context, term, start, end): the terms near each entity; not those cut off by the window's
-    edge or standing in a match themselves."""
-    one = marks.filter(F.size("pii_found") > 0).select("pii_id", "pii_key", "pii_found", F.explode("pii_found").alias("m"))
-    sides = one.select("pii_id", "pii_key", "pii_found", F.col("m.entity").alias("entity"), F.xxhash64("m.before", "m.after").alias("context"), F.explode(F.array(
-        F.struct((F.col("m.start") - F.length("m.before")).alias("from"), F.col("m.before").alias("side"), F.lit(True).alias("left")),
-        F.struct(F.col("m.end").alias("from"), F.col("m.after").alias("side"), F.lit(False).alias("left")),
-    )).alias("w"))
-    parts = sides.select("*", _split_at(F.col("w.side"), TERM_PATTERN).alias("parts"))
-    terms = parts.select("*", F.explode(_places(F.col("parts"), F.col("w.from"))).alias("t"))
-    terms = terms.select("*", F.col("t.start").alias("start"), (F.col("t.start") + F.length("t.value")).alias("end"))
-    at_edge = F.when(F.col("w.left"), (F.col("start") == F.col("w.from")) & (F.col("start") > 0)).otherwise(F.col("end") == F.col("w.from") + WINDOW)
-    touching = F.exists("pii_found", lambda f: (f["start"] <= F.col("end")) & (F.col("start") <= f["end"]))
-    return terms.filter(~at_edge & ~touching).select("pii_id", "pii_key", "entity", "context", F.lower("t.value").alias("term"), "start", "end")
-
-
-def disclosing(docs: DataFrame, marks: DataFrame, near: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure): the terms that disclose an entity, with the share of its information content."""
-    per_entity = marks.select("pii_id", "pii_key", F.explode(F.array_distinct(F.transform("pii_found", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    by_context = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    support = by_context.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= CONTEXTS)
-    by_doc = near.groupBy("entity", "term", "pii_id", "pii_key").agg(F.lit(1).alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_docs"))
-    pairs = stored(support.join(by_doc, ["entity", "term"]).join(per_entity, "entity"), "pii-pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), F.lit(TERM_PATTERN), F.lit(0)))).alias("term"))
+    df = df.select("pii_id", "pii_key", "t", F.when(F.coalesce(*[F.col(f"at_{k}") for k in KINDS]).isNotNull(), F.sort_array(found)).otherwise(empty).alias("pii_found"))
+    forms = F.array_distinct(F.regexp_extract_all(_blanked(F.col("t"), F.col("pii_found")), F.lit(TERM_PATTERN), F.lit(0)))
+    return stored(df.select("pii_id", "pii_key", "pii_found", forms.alias("pii_forms")), "pii-marks")
+
+
+def _terms() -> Column:
+    return F.array_distinct(F.transform("pii_forms", F.lower))
+
+
+def disclosing(marks: DataFrame) -> DataFrame:
+    """(entity, term, disclosure): the terms that disclose an entity, with the share of its information content. All
+    counts are of whole documents."""
+    size = float(max(marks.count(), 1))
+    mentions = marks.filter(F.size("pii_found") > 0).select("pii_key", "pii_forms", F.explode(F.array_distinct(F.transform("pii_found", lambda m: m["entity"]))).alias("entity"))
+    # no term can stand in more texts with an entity than the entity does
+    per_entity = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs")).filter(F.col("entity_docs") >= CONTEXTS)
+    per_entity = stored(per_entity.withColumnRenamed("entity", "e"), "pii-entities")
+    # equal texts are put together before their terms are listed
+    held = mentions.join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi").groupBy("entity", "pii_key").agg(F.count(F.lit(1)).alias("n"), F.first("pii_forms").alias("pii_forms"))
+    both = held.select("entity", "n", F.explode(_terms()).alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("both_docs"), F.count(F.lit(1)).alias("texts"))
+    pairs = stored(both.filter(F.col("texts") >= CONTEXTS).drop("texts"), "pii-pairs")
+    # disclosure >= d needs term_docs <= both_docs * (size / entity_docs) ** (1 - d): terms beyond that for all entities are left out (one more for rounding)
+    most = per_entity.agg(F.max("entity_docs")).first()[0] or 0
+    bound = most**DISCLOSURE * size ** (1 - DISCLOSURE) + 1
     # summed up by term before anything is joined: how many rows a frequent term has doesn't matter
-    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-    size = marks.count()
-    # p(e | t) = both / term_docs; equal rows of docs count as one document in both and in entity_docs' numerator too
-    content = -F.log2(F.col("entity_docs") / F.lit(float(max(size, 1))))
+    counted = marks.select(F.explode(_terms()).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("term_docs"))
+    counted = stored(counted.filter(F.col("term_docs").between(CONTEXTS, bound)), "pii-terms")
+    content = -F.log2(F.col("entity_docs") / F.lit(size))
     pmi = content + F.log2(F.least(F.col("both_docs") / F.col("term_docs"), F.lit(1.0)))
-    scored = pairs.join(counted, "term").withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
+    scored = pairs.join(per_entity, F.col("entity") == F.col("e")).join(counted, F.col("term") == F.col("w"))
+    scored = scored.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
     return stored(scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure"), "pii-disclosing")
 
 
+def _extra(docs: DataFrame, marks: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(x_id, x_key, extra): the places of the terms (column w) in all documents that hold any."""
+    forms = marks.select("pii_id", "pii_key", F.explode("pii_forms").alias("form")).join(terms, F.lower("form") == F.col("w"), "left_semi")
+    held = forms.groupBy("pii_id", "pii_key").agg(F.collect_set("form").alias("forms"))
+    # forms are whole runs of letters, so nothing in them needs escaping
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})"))
+    held = stored(held.select(F.col("pii_id").alias("x_id"), F.col("pii_key").alias("x_key"), pattern.alias("pattern")), "pii-held")
+    same = F.col("pii_id").eqNullSafe(F.col("x_id")) & (F.col("pii_key") == F.col("x_key"))
+    found = marks.select("pii_id", "pii_key", "pii_found").join(held, same).dropDuplicates(["x_id", "x_key"]).select("x_id", "x_key", "pii_found", "pattern")
+    text, plain = _plain(text_col)
+    texts = docs.select(F.col(f"`{id_col}`").alias("pii_id"), F.xxhash64(text).alias("pii_key"), plain.alias("t")).join(stored(found, "pii-patterns"), same).dropDuplicates(["x_id", "x_key"])
+    marked = texts.select("x_id", "x_key", F.regexp_replace(_blanked(F.col("t"), F.col("pii_found")), F.col("pattern"), F.lit(f"{_OPEN}$0{_SHUT}")).alias("t"))
+    spans = F.transform(_places(F.split("t", _OPEN)), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), (m["start"] + F.length(m["value"])).cast("int").alias("end")))
+    return stored(marked.select("x_id", "x_key", spans.alias("extra")), "pii-extra")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(marks, extra): the table of :func:`mark`, and (x_id, x_key, extra: array<struct<start, rank, end>>) with the
     disclosing terms of the documents that have any.
@@ -142,11 +170,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     each; other columns are ignored; an empty table gives empty ones. Matching takes time linear in the text.
     """
     marks = mark(docs, id_col, text_col)
-    near = stored(_near_terms(marks), "pii-near")
-    hits = near.join(disclosing(docs, marks, near, text_col), ["entity", "term"])
-    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")
-    extra = hits.groupBy(F.col("pii_id").alias("x_id"), F.col("pii_key").alias("x_key")).agg(F.sort_array(F.collect_set(span)).alias("extra"))
-    return marks, stored(extra, "pii-extra")
+    terms = stored(disclosing(marks).select(F.col("term").alias("w")).distinct(), "pii-marked")
+    return marks, _extra(docs, marks, terms, id_col, text_col)
 
 
 def _all_spans() -> Column:
@@ -178,7 +203,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows without spans, null texts among them, stay as they are, and so do all other columns, whatever their names.
     """
     marks, extra = find(docs, id_col, text_col)
-    both = marks.filter(F.size("pii_found") > 0).dropDuplicates(["pii_id", "pii_key"]).join(extra, F.col("pii_id").eqNullSafe(F.col("x_id")) & (F.col("pii_key") == F.col("x_key")), "left")
+    both = marks.select("pii_id", "pii_key", "pii_found").join(extra, F.col("pii_id").eqNullSafe(F.col("x_id")) & (F.col("pii_key") == F.col("x_key")), "left")
+    both = both.filter((F.size("pii_found") > 0) | F.col("extra").isNotNull()).dropDuplicates(["pii_id", "pii_key"])
     spans = stored(both.select("pii_id", "pii_key", _all_spans().alias("pii_spans")), "pii-spans")
     own = {c: f"own{i}" for i, c in enumerate(docs.columns)}
     keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("pii_own"))
