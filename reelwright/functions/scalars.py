@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Language names by code, codec families and raw formats, stream flags by bit, in their given order.
+# Invented labels of stream flags by bit; the README names what the reference has beyond this.
 FLAGS = {1: "flag1", 2: "flag2", 4: "flag4", 8: "flag8", 16: "flag16", 32: "flag32", 64: "flag64"}
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
 
