@@ -32,7 +32,11 @@ LENGTH, GRAM, PREFIX = 400, 64, 100
 #: Bytes of the surroundings before a q-gram: the largest offset of a string's own q-gram in it.
 REACH = LENGTH - GRAM
 #: Windows of a text that are hashed at once, and different surroundings that a task takes of one bucket.
-CHUNK, MOST = 1 << 19, 20_000
+CHUNK, MOST = 1 << 19, 10_000
+#: Identifiers that a task makes at once (some 60 bytes each).
+CELLS = 700_000
+#: Surroundings, and bytes of remaining text, that a task hands over at once.
+HANDED, HANDED_BYTES = 4096, 16 << 20
 _LOCAL = (1 << 21) - 1
 
 
@@ -107,11 +111,13 @@ def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tid, text, places in zip(*batch.columns, strict=True):
-                data, rows = text.as_py(), places.as_py()
-                pos = [r["pos"] for r in rows]
-                columns = [pa.array([tid.as_py()] * len(rows), pa.binary()), *(pa.array([r[c] for r in rows], t) for c, t in (("bucket", pa.int64()), ("pos", pa.int32()), ("lo", pa.int16()), ("hi", pa.int16()), ("report", pa.bool_())))]
-                columns += [pa.array([min(p, REACH) for p in pos], pa.int16()), pa.array([data[max(0, p - REACH) : p + LENGTH] for p in pos], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["tid", "bucket", "pos", "lo", "hi", "report", "left", "data"])
+                data = text.as_py()
+                for at in range(0, len(places), HANDED):
+                    rows = places.values.slice(at, HANDED)
+                    pos = rows.field("pos").to_pylist()
+                    columns = [pa.array([tid.as_py()] * len(rows), pa.binary()), *(rows.field(c) for c in ("bucket", "pos", "lo", "hi", "report"))]
+                    columns += [pa.array([min(p, REACH) for p in pos], pa.int16()), pa.array([data[max(0, p - REACH) : p + LENGTH] for p in pos], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["tid", "bucket", "pos", "lo", "hi", "report", "left", "data"])
 
     lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("bucket", "pos", "lo", "hi", "report")).alias("places"))
     return texts.join(lists, "tid").select("tid", "text", "places").mapInArrow(run, "tid binary, bucket long, pos int, lo short, hi short, report boolean, left short, data binary")
@@ -123,30 +129,52 @@ def _identifiers(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.uint64), sizes[ids]
 
 
+def _prefixes(m: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A hash of the PREFIX bytes from each of the places of every row of m, comparable at the same place only."""
+    out = np.empty((len(m), *places.shape), np.uint64)
+    powers = _powers(1 << 20)[0][: m.shape[1]]
+    for at in range(0, len(m), 1024):
+        sums = np.zeros((min(1024, len(m) - at), m.shape[1] + 1), np.uint64)
+        np.cumsum((m[at : at + 1024].astype(np.uint64) + np.uint64(1)) * powers, axis=1, out=sums[:, 1:])
+        out[at : at + 1024] = sums[:, places + PREFIX] - sums[:, places]
+    return out
+
+
 def repeated_strings(bucket: np.ndarray, left: np.ndarray, data: list[bytes], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """A matrix with a row for each of some surroundings and a column for each start (REACH bytes before the q-gram, and
-    on): whether the 400-byte string that starts there stands in another row of the bucket too."""
+    on): whether the 400-byte string that starts there stands in another row of the bucket too.
+
+    A start is refined on identifiers of the places 100, 200 and 300 bytes later, so starts are taken in strips by their
+    remainder modulo 100: as many remainders at once as keep a strip within CELLS, whatever the number of rows.
+    """
     width = REACH + LENGTH
     m = np.frombuffer(b"".join([bytes(REACH - n) + d + bytes(width - REACH + n - len(d)) for n, d in zip(left.tolist(), data, strict=True)]), np.uint8).reshape(-1, width)
-    sums = np.zeros((len(m), width + 1), np.uint64)
-    np.cumsum((m.astype(np.uint64) + np.uint64(1)) * _powers(1 << 20)[0][:width], axis=1, out=sums[:, 1:])
-    prefix = sums[:, PREFIX:] - sums[:, :-PREFIX]
-    place = np.unique(bucket, return_inverse=True)[1].astype(np.uint64)[:, None] * np.uint64(1024) + np.arange(prefix.shape[1], dtype=np.uint64)
-    ids, sizes = _identifiers((_scrambled(prefix) + _scrambled(place * np.uint64(0x9E3779B97F4A7C15))).ravel())
-    ids, sizes = ids.reshape(prefix.shape), sizes.reshape(prefix.shape)
-    offset = REACH - np.arange(REACH + 1)
-    active = (offset >= lo[:, None]) & (offset <= hi[:, None])
-    for k in range(LENGTH // PREFIX):
-        active &= sizes[:, k * PREFIX : k * PREFIX + REACH + 1] > 1
-    row, col = np.nonzero(active)
-    pair = lambda x, y: x << np.uint64(32) | y
-    halves = []
-    for k in (0, 2):  # 200 bytes: the identifiers of a prefix and of the offset behind it
-        ids2, sizes2 = _identifiers(pair(ids[row, col + k * PREFIX], ids[row, col + (k + 1) * PREFIX]))
-        row, col, halves = row[sizes2 > 1], col[sizes2 > 1], [h[sizes2 > 1] for h in halves] + [ids2[sizes2 > 1]]
+    number = np.unique(bucket, return_inverse=True)[1].astype(np.uint64)[:, None, None] * np.uint64(1024)
     out = np.zeros((len(m), REACH + 1), bool)
-    if len(row):  # 400 bytes, from the identifiers just made
-        out[row, col] = _identifiers(pair(*halves))[1] > 1
+    steps, starts = (width - PREFIX) // PREFIX + 1, REACH // PREFIX + 1
+    pair = lambda x, y: x << np.uint64(32) | y
+    many = max(1, CELLS // (steps * max(1, len(m))))
+    for at in range(0, PREFIX, many):
+        # places (step, remainder); those beyond the last prefix repeat it, and no start needs them
+        places = np.minimum(np.arange(steps)[:, None] * PREFIX + np.arange(at, min(PREFIX, at + many)), width - PREFIX)
+        keys = _scrambled(_prefixes(m, places)) + _scrambled((number + places.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+        ids, sizes = (x.reshape(keys.shape) for x in _identifiers(keys.ravel()))
+        start = np.arange(starts)[:, None] * PREFIX + np.arange(at, min(PREFIX, at + many))
+        active = (start <= REACH) & (REACH - start >= lo[:, None, None]) & (REACH - start <= hi[:, None, None])
+        for k in range(LENGTH // PREFIX):
+            active &= sizes[:, k : k + starts] > 1
+        # 200 bytes: the identifiers of a prefix and of the place behind it, at starts and 200 bytes after them
+        needed = np.zeros((len(m), steps - 1, places.shape[1]), bool)
+        needed[:, :starts] |= active
+        needed[:, 2 : 2 + starts] |= active
+        ids2, sizes2 = np.zeros(needed.shape, np.uint64), np.zeros(needed.shape, np.int64)
+        ids2[needed], sizes2[needed] = _identifiers(pair(ids[:, :-1][needed], ids[:, 1:][needed]))
+        active &= (sizes2[:, :starts] > 1) & (sizes2[:, 2 : 2 + starts] > 1)
+        # 400 bytes: from the identifiers just made
+        row, step, rest = np.nonzero(active)
+        if len(row):
+            twice = _identifiers(pair(ids2[row, step, rest], ids2[row, step + 2, rest]))[1] > 1
+            out[row[twice], start[step[twice], rest[twice]]] = True
     return out
 
 
@@ -183,12 +211,22 @@ def _refined(around: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "tid binary, start long, end long")
 
 
-def _split_large(around: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The surroundings with no bucket over MOST, and the spans of strings that a bucket has more often than that."""
+def _over(places: DataFrame) -> DataFrame:
+    """The buckets (b) with more than MOST rows."""
+    return stored(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select(F.col("bucket").alias("b")), "large-buckets")
+
+
+def _split_large(texts: DataFrame, sides: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Surroundings with no bucket over MOST, and the spans of strings that a bucket has more often than that."""
     ready, spans = [], []
-    rows = around.withColumn("low", F.lit(0)).withColumn("high", F.lit(511))
+    sizes = _over(sides)
+    if sizes.isEmpty():
+        return [_surroundings(texts, sides)], []
+    ready.append(_surroundings(texts, sides.join(sizes, F.col("bucket") == F.col("b"), "left_anti")))
+    rows = _surroundings(texts, sides.join(sizes, F.col("bucket") == F.col("b"), "left_semi"))
+    rows = stored(rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(511)), "split-buckets")
     while True:
-        sizes = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select(F.col("bucket").alias("b")), "large-buckets")
+        sizes = _over(rows)
         if sizes.isEmpty():
             ready.append(rows.drop("low", "high"))
             break
@@ -201,19 +239,24 @@ def _split_large(around: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         common = F.expr(f"substring(data, left - half.a + 1, half.a + {LENGTH} - half.b)")
         halves = halves.withColumn("bucket", F.xxhash64("bucket", "half.a", common)).withColumn("lo", F.expr("greatest(lo, CAST(half.a AS SMALLINT))")).withColumn("hi", F.expr("least(hi, CAST(half.b AS SMALLINT))"))
         rows = stored(halves.withColumn("low", F.col("half.a")).withColumn("high", F.col("half.b")).drop("half"), "split-buckets")
-    out = ready[0]
-    for r in ready[1:]:
-        out = out.union(r)
-    return out, spans
+    return ready, spans
 
 
 def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """Per text with spans: n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
+    types = (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], ["tid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            held = 0
             for tid, text, places in zip(*batch.columns, strict=True):
+                if held > HANDED_BYTES:
+                    yield rows(out)
+                    out, held = [], 0
                 data, kept, at, runs = text.as_py(), [], 0, 0
                 for start, end in sorted((p["start"], p["end"]) for p in places.as_py()):
                     if start > at or not runs:
@@ -223,7 +266,8 @@ def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 kept.append(data[at:])
                 rest = b"".join(kept)
                 out.append((tid.as_py(), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], ["tid", "n_removed", "n_spans", "kept_sha256", "kept"])
+                held += len(rest)
+            yield rows(out)
 
     lists = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "end")).alias("places"))
     return texts.join(lists, "tid").select("tid", "text", "places").mapInArrow(run, "tid binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -241,7 +285,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(data)).alias("tid"), data.alias("text"))
     each = stored(rows.select("id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "text-ids")
     grams = stored(_grams(rows.select("tid", "text")), "own-grams").withColumn("x", F.xxhash64("tid", "pos", "lo"))
-    shared = grams.groupBy("bucket").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).filter("x1 <> x2").select(F.col("bucket").alias("b"))
+    # stored, as all sides of joins that are counts by key: read as plain tables, the other side can be split where a key is hot
+    shared = stored(grams.groupBy("bucket").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).filter("x1 <> x2").select(F.col("bucket").alias("b")), "shared-grams")
     candidates = stored(grams.join(shared, F.col("bucket") == F.col("b"), "left_semi"), "candidates")
     same = ["bucket", "around", "lo", "hi"]
     classes = candidates.groupBy(*same).agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
@@ -252,16 +297,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     told = stored(candidates.join(classes, on).drop(*[f"c_{c}" for c in same]), "told")
     whole = told.filter("twice").select("tid", (F.col("pos") - F.col("hi")).cast("long").alias("start"), (F.col("pos") - F.col("lo") + LENGTH).cast("long").alias("end"))
     # what is left to sort: occurrences with surroundings of their own, and one for each class that others share
-    open_ = told.filter("NOT twice").select(F.col("bucket").alias("b")).distinct()
+    open_ = stored(told.filter("NOT twice").select(F.col("bucket").alias("b")).distinct(), "open-buckets")
     sides = told.filter("x = x1").join(open_, F.col("bucket") == F.col("b"), "left_semi").select("tid", "bucket", "pos", "lo", "hi", (~F.col("twice")).alias("report")).distinct()
     sides = stored(sides, "open")
     wanted = whole.select("tid").union(sides.select("tid")).distinct()
     # copies are put together before texts are dealt out
     texts = stored(rows.groupBy("tid").agg(F.first("text").alias("text")).join(wanted, "tid", "left_semi"), "repeated-texts")
-    around, spans = _split_large(_surroundings(texts, sides))
-    for more in [_refined(around), *spans]:
+    ready, spans = _split_large(texts, sides)
+    for more in [*map(_refined, ready), *spans]:
         whole = whole.union(more)
-    cut = _cut(texts, whole)
+    # stored: what sorting takes in memory is over before texts are cut
+    cut = _cut(texts, stored(whole, "spans"))
     done = stored(cut if kept else cut.drop("kept"), "cut-texts").withColumnRenamed("tid", "t")
     copies = stored(each.groupBy("tid").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select(F.col("tid").alias("c")), "copied-texts")
     all_ = each.join(done, F.col("tid") == F.col("t"), "left").join(copies, F.col("tid") == F.col("c"), "left")
