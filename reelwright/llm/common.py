@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,14 @@ SPACE = " \\u0009\\u000A\\u000B\\u000C\\u000D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where none is named (tests), a temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one of a local session;
+    on a cluster that is an error, as executors would write where nobody else reads."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         named = at.get()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         named = "file://" + tempfile.mkdtemp(prefix="reelwright-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -28,13 +32,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: it survives lost executors and cuts the lineage."""
-    path = new_folder(df.sparkSession, name)
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df written as a table in the shared folder (at path, if it is given) and read again: it survives lost executors and
+    cuts the lineage."""
+    path = path or new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @functools.cache
 def tokenizer(path: str):
     """The tokenizer of a .json file, once per Python process, without truncation and padding."""

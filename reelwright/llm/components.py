@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelwright.llm.common import stored
+from reelwright.llm.common import discard, new_folder, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,22 +17,32 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Each round hooks the larger neighbours of every node, then its smaller ones, to the smallest (Kiveris et al.,
     "Connected Components in MapReduce and Beyond"); the number of rounds grows with the logarithm of the nodes. No
-    task gets all links of a node: minima are summed up before the shuffle, and the joins can be split where a node
-    has very many. Nulls link nothing, repeated links and loops count once; without links there are no rows.
+    task gets all links of a node: minima are summed up before the shuffle and stored, so that both sides of the joins
+    are plain tables and the links of a node that has very many can be split. Tables of a round go when the next one
+    is there. Nulls link nothing, repeated links and loops count once; without links there are no rows.
     """
+    spark = links.sparkSession
+    live: list[str] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        live.append(new_folder(spark, name))
+        return stored(df, name, live[-1])
+
     ends = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    edges = stored(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = kept(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
         # large star: of each node u with smallest neighbour m (or itself), neighbours above u now link to m
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(lowest, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "links")
+        lowest = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "lowest")
+        large = kept(both.filter("v > u").join(lowest, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
         # small star: of each node u, its smaller neighbours and u itself now link to the smallest of them
-        lowest = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        lowest = kept(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "lowest")
         hooked = large.join(lowest, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = stored(hooked.union(lowest.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        edges = kept(hooked.union(lowest.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "links")
+        for path in live[:-1]:
+            discard(spark, path)
+        live = live[-1:]
         now = _state(edges)
         if now == state:
             break
