@@ -1,11 +1,14 @@
 """Personal data by patterns, and information-theoretic sanitisation of the terms that give it away.
 
-The protected entities are the values that the patterns find. A term in the same document as an entity discloses it as
+The protected entities are the values that the patterns find, and what they generalise to: the host of an address, the
+network, issuer or prefix of a number, and the kind itself. A term in the same document as an entity discloses it as
 far as seeing the term tells that the entity is there: PMI(term; entity) = log2(p(entity | term) / p(entity)), as a
 share of the entity's information content -log2 p(entity), the most that can be disclosed (Sanchez and Batet,
-"C-sanitized"). All probabilities are shares of the corpus' documents. A term whose share reaches the threshold, and
-that stands with the entity in several different texts, is marked in every document that holds it, with the entity or
-without, and generalised when texts are sanitised. Everything here is Spark SQL functions and joins.
+"C-sanitized"). All probabilities are shares of the corpus' different texts, exact copies counting once; of the texts
+that hold both, one is taken off, as it may do so by chance. A term whose share reaches the threshold, and that stands
+with the entity in several texts, is marked in every document that holds it, with the entity or without. When texts are
+sanitised, a term that discloses entities of one kind is generalised to that kind, one of several kinds is removed.
+Everything here is Spark SQL functions and joins.
 """
 
 from __future__ import annotations
@@ -27,12 +30,13 @@ PATTERNS = {
 }
 #: What a text must hold at least for its kind to be looked for.
 TRIGGERS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: A term is a run of letters outside of all matches, of any length. WINDOW limits nothing: it is the reach of a version
-#: that looked only beside entities, which tests still name.
-TERM_PATTERN, WINDOW = r"\p{L}++", 60
+#: A term is a run of letters outside of all matches, of any length.
+TERM_PATTERN = r"\p{L}++"
 #: The share of an entity's information content that a term may disclose, and the different texts holding both that are
 #: needed before anything is concluded from a term.
 DISCLOSURE, CONTEXTS = 0.75, 3
+#: Up to so many candidate terms (some 50 bytes each) are sent to all tasks, to be counted alone; beyond, all terms are.
+BROADCAST_TERMS = 500_000
 _OPEN, _SHUT, _NEITHER = "\x01", "\x02", "\x03"
 
 
@@ -78,6 +82,13 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), same)
 
 
+def levels(entity: Column) -> Column:
+    """An entity, its host (email), network of two parts (ip), issuer of six or prefix of four digits, and its kind."""
+    kind, value = F.substring_index(entity, ":", 1), F.substring_index(entity, ":", -1)
+    group = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "card", F.left(value, F.lit(6))).otherwise(F.left(value, F.lit(4)))
+    return F.array(entity, F.concat(kind, F.lit("/"), group), kind)
+
+
 def _plain(text_col: str) -> tuple[Column, Column]:
     """The text (a null one is empty), and the same without the marks used here."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -97,7 +108,8 @@ def _blanked(text: Column, found: Column) -> Column:
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A stored table with a row per row of docs: pii_id, pii_key (a hash of the text), pii_found, the matches of all
-    kinds as array<struct<start, rank, end, entity>>, by start, then kind, and pii_forms, the different terms as written."""
+    kinds as array<struct<start, rank, end, entity>>, by start, then kind, pii_forms, the different terms as written, and
+    pii_row, a number of the row."""
     text, plain = _plain(text_col)
     df = docs.select(F.col(f"`{id_col}`").alias("pii_id"), F.xxhash64(text).alias("pii_key"), plain.alias("t"))
     df = df.select("*", *[F.when(F.col("t").rlike(TRIGGERS[k]), _split_at(F.col("t"), PATTERNS[k])).alias(f"parts_{k}") for k in KINDS])
@@ -114,7 +126,7 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = F.concat(*[F.coalesce(described(k), empty) for k in KINDS])
     df = df.select("pii_id", "pii_key", "t", F.when(F.coalesce(*[F.col(f"at_{k}") for k in KINDS]).isNotNull(), F.sort_array(found)).otherwise(empty).alias("pii_found"))
     forms = F.array_distinct(F.regexp_extract_all(_blanked(F.col("t"), F.col("pii_found")), F.lit(TERM_PATTERN), F.lit(0)))
-    return stored(df.select("pii_id", "pii_key", "pii_found", forms.alias("pii_forms")), "pii-marks")
+    return stored(df.select("pii_id", "pii_key", "pii_found", forms.alias("pii_forms"), F.monotonically_increasing_id().alias("pii_row")), "pii-marks")
 
 
 def _terms() -> Column:
@@ -123,60 +135,68 @@ def _terms() -> Column:
 
 def disclosing(marks: DataFrame) -> DataFrame:
     """(entity, term, disclosure): the terms that disclose an entity, with the share of its information content. All
-    counts are of whole documents."""
-    size = float(max(marks.count(), 1))
-    mentions = marks.filter(F.size("pii_found") > 0).select("pii_key", "pii_forms", F.explode(F.array_distinct(F.transform("pii_found", lambda m: m["entity"]))).alias("entity"))
+    counts are of whole texts, equal ones once."""
+    copies = stored(marks.groupBy("pii_key").agg(F.count(F.lit(1)).alias("n"), F.min("pii_row").alias("kept")).filter("n > 1").withColumnRenamed("pii_key", "k"), "pii-copies")
+    size = float(max(marks.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0), 1))
+    texts = marks.join(copies, F.col("pii_key") == F.col("k"), "left").filter("kept IS NULL OR pii_row = kept")
+    entities = F.array_distinct(F.flatten(F.transform("pii_found", lambda m: levels(m["entity"]))))
+    mentions = stored(texts.filter(F.size("pii_found") > 0).select(entities.alias("entities"), _terms().alias("terms")), "pii-mentions")
     # no term can stand in more texts with an entity than the entity does
-    per_entity = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs")).filter(F.col("entity_docs") >= CONTEXTS)
-    per_entity = stored(per_entity.withColumnRenamed("entity", "e"), "pii-entities")
-    # equal texts are put together before their terms are listed
-    held = mentions.join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi").groupBy("entity", "pii_key").agg(F.count(F.lit(1)).alias("n"), F.first("pii_forms").alias("pii_forms"))
-    both = held.select("entity", "n", F.explode(_terms()).alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("both_docs"), F.count(F.lit(1)).alias("texts"))
-    pairs = stored(both.filter(F.col("texts") >= CONTEXTS).drop("texts"), "pii-pairs")
-    # disclosure >= d needs term_docs <= both_docs * (size / entity_docs) ** (1 - d): terms beyond that for all entities are left out (one more for rounding)
-    most = per_entity.agg(F.max("entity_docs")).first()[0] or 0
-    bound = most**DISCLOSURE * size ** (1 - DISCLOSURE) + 1
+    per_entity = mentions.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("entity_texts")).filter(F.col("entity_texts") >= CONTEXTS)
+    per_entity = stored(per_entity, "pii-entities")
+    held = mentions.select(F.explode("entities").alias("entity"), "terms").join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi")
+    both = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_texts"))
+    pairs = stored(both.filter(F.col("both_texts") >= CONTEXTS), "pii-pairs")
+    candidates = stored(pairs.select(F.col("term").alias("c")).distinct(), "pii-candidates")
     # summed up by term before anything is joined: how many rows a frequent term has doesn't matter
-    counted = marks.select(F.explode(_terms()).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("term_docs"))
-    counted = stored(counted.filter(F.col("term_docs").between(CONTEXTS, bound)), "pii-terms")
-    content = -F.log2(F.col("entity_docs") / F.lit(size))
-    pmi = content + F.log2(F.least(F.col("both_docs") / F.col("term_docs"), F.lit(1.0)))
+    words = texts.select(F.explode(_terms()).alias("w"))
+    few = candidates.count() <= BROADCAST_TERMS
+    counted = (words.join(F.broadcast(candidates), F.col("w") == F.col("c"), "left_semi") if few else words).groupBy("w").agg(F.count(F.lit(1)).alias("term_texts"))
+    counted = stored(counted.filter(F.col("term_texts") >= CONTEXTS), "pii-terms")
+    content = -F.log2(F.col("entity_texts") / F.lit(size))
+    pmi = content + F.log2((F.col("both_texts") - 1) / F.col("term_texts"))
     scored = pairs.join(per_entity, F.col("entity") == F.col("e")).join(counted, F.col("term") == F.col("w"))
     scored = scored.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
     return stored(scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure"), "pii-disclosing")
 
 
 def _extra(docs: DataFrame, marks: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(x_id, x_key, extra): the places of the terms (column w) in all documents that hold any."""
-    forms = marks.select("pii_id", "pii_key", F.explode("pii_forms").alias("form")).join(terms, F.lower("form") == F.col("w"), "left_semi")
-    held = forms.groupBy("pii_id", "pii_key").agg(F.collect_set("form").alias("forms"))
+    """(x_id, x_key, extra): the places of the terms (column w, and what: their more general term) in all documents that
+    hold any."""
+    forms = marks.select("pii_id", "pii_key", F.explode("pii_forms").alias("form")).join(terms, F.lower("form") == F.col("w"))
+    held = forms.groupBy("pii_id", "pii_key").agg(F.collect_set(F.struct("form", "what")).alias("forms"))
     # forms are whole runs of letters, so nothing in them needs escaping
-    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms", "|"), F.lit(r")(?!\p{L})"))
-    held = stored(held.select(F.col("pii_id").alias("x_id"), F.col("pii_key").alias("x_key"), pattern.alias("pattern")), "pii-held")
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("forms.form", "|"), F.lit(r")(?!\p{L})"))
+    held = stored(held.select(F.col("pii_id").alias("x_id"), F.col("pii_key").alias("x_key"), pattern.alias("pattern"), F.map_from_entries("forms").alias("whats")), "pii-held")
     same = F.col("pii_id").eqNullSafe(F.col("x_id")) & (F.col("pii_key") == F.col("x_key"))
-    found = marks.select("pii_id", "pii_key", "pii_found").join(held, same).dropDuplicates(["x_id", "x_key"]).select("x_id", "x_key", "pii_found", "pattern")
+    found = marks.select("pii_id", "pii_key", "pii_found").join(held, same).dropDuplicates(["x_id", "x_key"]).select("x_id", "x_key", "pii_found", "pattern", "whats")
     text, plain = _plain(text_col)
     texts = docs.select(F.col(f"`{id_col}`").alias("pii_id"), F.xxhash64(text).alias("pii_key"), plain.alias("t")).join(stored(found, "pii-patterns"), same).dropDuplicates(["x_id", "x_key"])
-    marked = texts.select("x_id", "x_key", F.regexp_replace(_blanked(F.col("t"), F.col("pii_found")), F.col("pattern"), F.lit(f"{_OPEN}$0{_SHUT}")).alias("t"))
-    spans = F.transform(_places(F.split("t", _OPEN)), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), (m["start"] + F.length(m["value"])).cast("int").alias("end")))
+    marked = texts.select("x_id", "x_key", "whats", F.regexp_replace(_blanked(F.col("t"), F.col("pii_found")), F.col("pattern"), F.lit(f"{_OPEN}$0{_SHUT}")).alias("t"))
+    what = lambda m: F.element_at("whats", m["value"]).alias("what")
+    spans = F.transform(_places(F.split("t", _OPEN)), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), (m["start"] + F.length(m["value"])).cast("int").alias("end"), what(m)))
     return stored(marked.select("x_id", "x_key", spans.alias("extra")), "pii-extra")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(marks, extra): the table of :func:`mark`, and (x_id, x_key, extra: array<struct<start, rank, end>>) with the
-    disclosing terms of the documents that have any.
+    """(marks, extra): the table of :func:`mark`, and (x_id, x_key, extra: array<struct<start, rank, end, what>>) with
+    the disclosing terms of the documents that have any.
 
     A null text is an empty one and holds nothing. Null ids stay; equal rows (same id and text) get the same spans
     each; other columns are ignored; an empty table gives empty ones. Matching takes time linear in the text.
     """
     marks = mark(docs, id_col, text_col)
-    terms = stored(disclosing(marks).select(F.col("term").alias("w")).distinct(), "pii-marked")
+    kinds = F.collect_set(F.regexp_extract("entity", "^[a-z]+", 0))
+    # at most one element for each kind
+    terms = disclosing(marks).groupBy(F.col("term").alias("w")).agg(kinds.alias("kinds"))
+    terms = stored(terms.select("w", F.when(F.size("kinds") == 1, F.concat(F.lit("about "), F.col("kinds")[0])).otherwise(F.lit(TERM)).alias("what")), "pii-marked")
     return marks, _extra(docs, marks, terms, id_col, text_col)
 
 
 def _all_spans() -> Column:
-    base = F.transform("pii_found", lambda m: F.struct(m["start"], m["rank"], m["end"]))
-    return F.sort_array(F.concat(base, F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int>>"))))
+    names = F.array(*map(F.lit, KINDS))
+    base = F.transform("pii_found", lambda m: F.struct(m["start"], m["rank"], m["end"], F.element_at(names, m["rank"] + 1).alias("what")))
+    return F.sort_array(F.concat(base, F.coalesce("extra", F.array().cast("array<struct<start:int,rank:int,end:int,what:string>>"))))
 
 
 def _written(spans: Column) -> Column:
@@ -198,7 +218,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each span of text_col replaced by its kind in angle brackets (overlapping spans by that of the first).
+    """docs with each span of text_col replaced in angle brackets (overlapping spans by the first): data by its kind, a
+    disclosing term by "about" and the kind that it discloses, or by "term" if they are several.
 
     Rows without spans, null texts among them, stay as they are, and so do all other columns, whatever their names.
     """
@@ -209,11 +230,11 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = {c: f"own{i}" for i, c in enumerate(docs.columns)}
     keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("pii_own"))
     joined = keyed.join(spans, F.col(own[id_col]).eqNullSafe(F.col("pii_id")) & (F.col("pii_own") == F.col("pii_key")), "left")
-    text, names = F.col(own[text_col]), F.array(*map(F.lit, (*KINDS, TERM)))
+    text = F.col(own[text_col])
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, m: Column) -> Column:
-        piece = F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), F.lit("<"), F.element_at(names, m["rank"] + 1), F.lit(">"))
+        piece = F.concat(s["out"], F.substring(text, s["at"] + 1, m["start"] - s["at"]), F.lit("<"), m["what"], F.lit(">"))
         return F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.when(m["start"] >= s["at"], piece).otherwise(s["out"]).alias("out"))
 
     written = F.aggregate("pii_spans", first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
