@@ -5,12 +5,17 @@ halving radii, fitted on a bounded sample; every vector then descends to its lea
 are measured over all vectors. The traversal takes pairs of nodes level by level: a pair whose centres are further
 apart than the distance and both covering radii is dropped with all below it. A pair of leaves that lies within the
 distance altogether is linked as a whole. All other pairs of leaves are compared vector by vector, in blocks.
+
+How much the bounds prune depends on the vectors. Where they lie in clusters or on few dimensions, most pairs of nodes
+go; vectors in random directions of many dimensions are all about as far from each other as from every centre, so no
+covering radius can tell them apart, and all their pairs of blocks are compared. Blocks are as large as a task may
+hold, as what is shuffled grows with the number of blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,11 @@ from reelwright.llm.components import connected_components
 #: Vectors that the nets are fitted on (at most; those with the lowest hashes), and the radii of the levels. Every
 #: vector is indexed, and results don't depend on the sample.
 SAMPLE, RADII = 2048, (1.0, 0.5, 0.25, 0.125)
-#: Vectors of a block: leaves are packed into blocks up to this size, larger ones are dealt out over several.
-BLOCK = 4096
+#: Bytes of the vectors of a block, of which a task holds two: leaves are packed into blocks up to this size, larger ones
+#: are dealt out over several. Of small tables, a block has a fifth of the vectors, but BLOCK at least.
+BLOCK_BYTES, BLOCK = 32 << 20, 1024
+#: Pairs of vectors that a task looks at at once.
+PAIRS = 2_000_000
 #: Safety of the bounds against rounding.
 SLACK = 1e-9
 
@@ -111,17 +119,12 @@ def _units(values: pa.Array, dims: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1))[:, None]
 
 
-def _local_links(x: np.ndarray, y: np.ndarray | None, skip: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the linked rows of x and y (of x and x above the diagonal, if y is None)."""
-    out = []
-    for at in range(0, len(x), 512):
-        near = x[at : at + 512] @ (x if y is None else y).T >= cosine
-        near &= ~skip[at : at + 512]
-        if y is None:
-            near &= np.arange(len(x))[None, :] > np.arange(at, at + len(near))[:, None]
-        i, j = np.nonzero(near)
-        out.append((i + at, j))
-    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+def _stacked(units: pa.Array) -> np.ndarray:
+    """The vectors of a binary column, without copying them."""
+    if isinstance(units, pa.ChunkedArray):
+        units = units.combine_chunks()
+    offsets = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1]
+    return np.frombuffer(units.buffers()[2], np.float64, (offsets[-1] - offsets[0]) // 8, offsets[0]).reshape(len(units), -1)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -138,6 +141,27 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _compared(x: np.ndarray, y: np.ndarray | None, cosine: float, w: np.ndarray, skip: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of x, then those of y: the weights of the rows linked to each, and the smallest place that its links
+    lead to. Compared are x and y, or, if y is None, the rows of x with each other. w has the weights of all rows; skip
+    tells of places (i, j) which ones are linked already."""
+    n, other = len(x) + (0 if y is None else len(y)), x if y is None else y
+    counts, root, first = np.zeros(n), np.arange(n), 0 if y is None else len(x)
+    step = max(1, PAIRS // len(other))
+    for at in range(0, len(x), step):
+        near = x[at : at + step] @ other.T >= cosine
+        if y is None:
+            near &= np.arange(len(x))[None, :] > np.arange(at, at + len(near))[:, None]
+        i, j = np.nonzero(near)
+        i, j = i + at, j + first
+        if len(i):
+            new = ~skip(i, j)
+            i, j = i[new], j[new]
+            counts += np.bincount(i, w[j], n) + np.bincount(j, w[i], n)
+            root = _roots(n, np.concatenate([i, np.arange(n)]), np.concatenate([j, root]))
+    return counts, root
+
+
 def linked(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row of vectors: id_col, n_links (other rows with that cosine or more), component (the smallest id that links
     lead to, its own included) and kept (whether it is that of the component).
@@ -156,7 +180,12 @@ def linked(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vect
     dims = distinct.agg(F.max(F.size("vector"))).first()[0]
     if not dims:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))
-    sample = distinct.select("vector", F.xxhash64("vector").alias("h"), "node").orderBy("h", "node").limit(SAMPLE).toArrow()
+    size = distinct.count()
+    hashed = distinct.select("vector", F.xxhash64("vector").alias("h"), "node")
+    # of large tables, only vectors whose hash is low enough for twice the sample
+    near_lowest = hashed.filter(F.col("h") < -(1 << 63) + (1 << 64) * 2 * SAMPLE // size) if size > 4 * SAMPLE else hashed
+    sample = near_lowest.orderBy("h", "node").limit(SAMPLE).toArrow()
+    block = max(1, min(BLOCK_BYTES // (8 * dims), max(BLOCK, -(-size // 5))))
     tree = CoverTree(_units(sample.column("vector").combine_chunks(), dims))
     shared = spark.sparkContext.broadcast(tree)
 
@@ -174,16 +203,16 @@ def linked(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vect
     radius = np.array([leaves[i].r if used[i] else 0.0 for i in range(len(used))])
     pairs, whole = tree.pairs(radius, used, most)
 
-    # leaves in order of their parents, packed into groups; a group over BLOCK is one leaf, dealt out by hash
+    # leaves in order of their parents, packed into groups; a group over a block is one leaf, dealt out by hash
     group, filled, g = {}, 0, 0
     for leaf in sorted(leaves, key=lambda i: (tree.parents[-1][i], i)):
-        if filled and filled + leaves[leaf].n > BLOCK:
+        if filled and filled + leaves[leaf].n > block:
             g, filled = g + 1, 0
         group[leaf], filled = g, filled + leaves[leaf].n
     sizes = np.zeros(g + 1, int)
     for leaf, r in leaves.items():
         sizes[group[leaf]] += r.n
-    parts = np.maximum(1, -(-sizes // BLOCK))
+    parts = np.maximum(1, -(-sizes // block))
     of = np.array([group.get(i, -1) for i in range(len(used))])
     compare = np.unique(np.sort(of[pairs[~whole]], axis=1), axis=0)
     inside = {(int(a), int(b)) for a, b in pairs[whole]}
@@ -214,15 +243,13 @@ def linked(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vect
         def one(t: pa.Table) -> pa.RecordBatch:
             side = t.column("side").to_numpy()
             node, w, leaf = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "w", "leaf"))
-            units = np.frombuffer(b"".join(t.column("unit").to_pylist())).reshape(len(t), -1)
+            units = _stacked(t.column("unit").combine_chunks())
             first = int((side == 0).sum())
-            alone = first == len(t)
-            codes = leaf[:first, None] * n_leaves + (leaf if alone else leaf[first:])[None, :]
-            skip = np.isin(codes, skip_codes) if len(skip_codes) else np.zeros(codes.shape, bool)
-            i, j = _local_links(units[:first], None if alone else units[first:], skip, cosine)
-            j = j if alone else j + first
-            counts = np.bincount(i, w[j], len(t)) + np.bincount(j, w[i], len(t))
-            root = _roots(len(t), i, j)
+
+            def skip(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return np.isin(leaf[i] * n_leaves + leaf[j], skip_codes) if len(skip_codes) else np.zeros(len(i), bool)
+
+            counts, root = _compared(units[:first], None if first == len(t) else units[first:], cosine, w, skip)
             keep = np.flatnonzero(counts > 0)
             return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(counts[keep].astype(np.int64)), pa.array(node[root[keep]])], ["node", "n", "root"])
 
@@ -247,15 +274,17 @@ def linked(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vect
     if between:
         edges = edges.union(spark.createDataFrame(between, "a long, b long"))
     roots = stored(connected_components(edges), "vector-roots")
-    counted = found.groupBy("node").agg(F.sum("n").alias("n"))
+    # sides of joins that are counted by key are stored: read as plain tables, the other side can be split at hubs
+    counted = stored(found.groupBy("node").agg(F.sum("n").alias("n")), "vector-counts")
     # equal vectors: the other copies, and each link as often as the other side has copies
     base = dealt.select(F.col("node").alias("d"), (F.col("w") - 1 + F.col("extra") - F.when(F.col("own"), F.col("w")).otherwise(0)).alias("more"))
     totals = base.join(counted, F.col("d") == F.col("node"), "left").select("d", (F.col("more") + F.coalesce("n", F.lit(0))).alias("n_links"))
-    totals = totals.join(roots, F.col("d") == F.col("node"), "left").select("d", "n_links", F.coalesce("root", "d").alias("root"))
-    each = rows.filter("vector IS NOT NULL").join(distinct.select("vector", F.col("node").alias("d")), "vector").select("row", "id", "d")
+    totals = stored(totals.join(roots, F.col("d") == F.col("node"), "left").select("d", "n_links", F.coalesce("root", "d").alias("root")), "vector-totals")
+    named = distinct.select(F.col("vector").alias("same"), F.col("node").alias("d"))
+    each = rows.filter("vector IS NOT NULL").join(named, F.col("vector") == F.col("same")).select("row", "id", "d")
     each = stored(each.join(totals, "d").select("row", "id", "n_links", "root"), "vector-links")
-    smallest = each.groupBy("root").agg(F.min("id").alias("component"))
-    good_rows = each.join(smallest, "root").select("id", "n_links", "component")
+    smallest = stored(each.groupBy("root").agg(F.min("id").alias("component")).withColumnRenamed("root", "r"), "vector-components")
+    good_rows = each.join(smallest, F.col("root") == F.col("r")).select("id", "n_links", "component")
     bad_rows = rows.filter("vector IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     both = good_rows.union(bad_rows)
     return both.select(F.col("id").alias(id_col), "n_links", "component", F.col("id").eqNullSafe(F.col("component")).alias("kept"))
