@@ -73,17 +73,17 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_perspectives": """
-        WITH r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS part FROM conversations),
+        WITH r AS (SELECT conv_id, role, replace(coalesce(text, ''), '<|', '<\\|') AS text, row_number() OVER w - 1 AS place, (row_number() OVER w - 1) // 512 AS part
+                   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, coalesce(text, ''))),
         s AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
-        p AS (SELECT r.conv_id, part, speaker, turn, role, text, coalesce(role = speaker, false) AS own,
+        p AS (SELECT r.conv_id, part, speaker, place, text || '<|end|>' AS body, coalesce(role = speaker, false) AS own,
                      CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
-                          ELSE '<|user name=' || coalesce(role, 'unknown') || '|>' || chr(10) END AS head
+                          ELSE '<|user name=' || replace(replace(coalesce(role, 'unknown'), '<|', '<\\|'), '|>', '|\\>') || '|>' || chr(10) END AS head
               FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
-        q AS (SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text
-                     ROWS UNBOUNDED PRECEDING) - length(text) - 8 AS pos FROM p)
-        SELECT conv_id, part, speaker, count(*) AS n_messages, count(*) FILTER (own) AS n_own,
-               string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS rendered,
-               coalesce(string_agg(CAST(pos AS BIGINT) || ':' || CAST(pos + length(text) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) FILTER (own), '') AS mask
+        q AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY place ROWS UNBOUNDED PRECEDING) - 1 AS stop FROM p)
+        SELECT conv_id, part, speaker, count(*) AS n_messages, count(*) FILTER (own) AS n_own, CAST(min(stop - length(body) - length(head)) AS BIGINT) AS start,
+               string_agg(head || body || chr(10), '' ORDER BY place) AS rendered,
+               coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY place) FILTER (own), '') AS mask
         FROM q GROUP BY conv_id, part, speaker""",
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -104,11 +104,14 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT n.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
                      CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
                      CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, length(text) AS n_chars,
-                     length(regexp_replace(text, '\P{Lu}', '', 'g')) AS n_upper
+                     length(regexp_replace(text, '\P{Lu}', '', 'g')) AS n_upper, len(list_filter(words, lambda w: NOT regexp_matches(w, '\p{L}'))) AS n_letterless,
+                     len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\x09-\x0D]*[-*•‣●]'))) AS n_bullets,
+                     len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipses
               FROM n LEFT JOIN r ON n.doc_id = r.doc_id)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 100 * n_upper > 45 * n_chars
-                    OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
+                    OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                    OR 5 * n_letterless > n_words OR 10 * n_bullets > 9 * n_lines OR 10 * n_ellipses > 3 * n_lines) AS kept
         FROM m""",
     "op7_mixing": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

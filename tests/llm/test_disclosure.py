@@ -16,15 +16,15 @@ def test_terms_far_from_an_entity_or_without_it_are_generalised(spark):
     rows = [(i, f"Bellweather {i} {FAR} write to ann.bell@mail.example.org", "a") for i in range(4)]
     rows += [(10, f"BELLWEATHER was here. {FAR} bellweather again, not Bellweathers", "a"), (None, "no id, Bellweather", "a")]
     out = texts(spark, rows)
-    assert all(out[i] == f"<term> {i} {FAR} write to <email>" for i in range(4))
-    assert out[10] == f"<term> was here. {FAR} <term> again, not Bellweathers" and out[None] == "no id, <term>"
+    assert all(out[i] == f"<about email> {i} {FAR} write to <email>" for i in range(4))
+    assert out[10] == f"<about email> was here. {FAR} <about email> again, not Bellweathers" and out[None] == "no id, <about email>"
     assert out[100] == FILLER[0][1]
 
 
 def test_both_is_counted_over_whole_documents(spark):
-    """Beside the entity in three of twelve documents only: a twelfth of the documents counted beside it was too few."""
+    """Near the entity in three of twelve documents only, but with it in all."""
     rows = [(i, f"Bellweather {FAR if i > 2 else i} {i} ann.bell@mail.example.org", "a") for i in range(12)]
-    assert all(out.startswith("<term> ") for i, out in texts(spark, rows).items() if i is not None and i < 12)
+    assert all(out.startswith("<about email> ") for i, out in texts(spark, rows).items() if i is not None and i < 12)
 
 
 def test_short_terms_and_copies(spark):
@@ -32,7 +32,7 @@ def test_short_terms_and_copies(spark):
     # the same text three times is one text: nothing is concluded from it
     rows += [(20 + i, "Copperfield: d.c@x.org", "a") for i in range(3)] + [(30, "Copperfield", "a")]
     out = texts(spark, rows)
-    assert out[9] == "only <term>" and out[0] == f"<term> 0 {FAR} <email>"
+    assert out[9] == "only <about email>" and out[0] == f"<about email> 0 {FAR} <email>"
     assert out[30] == "Copperfield" and out[20] == "Copperfield: <email>"
 
 

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reelwright.llm import components, cover_tree, near_copies, simhash
+from reelwright.llm import components, cover_tree, shingle_sets, simhash
 
 from .conftest import STORY, frame
 
@@ -63,60 +63,47 @@ def test_simhash_groups(name, request):
     assert sorted(r.fp & (1 << 64) - 1 for r in got) == sorted(prints)
 
 
-def test_pigeonring_links_lose_no_pair(spark):
-    rng = random.Random(3)
-    prints = [rng.getrandbits(64) for _ in range(150)]
-    for p in prints[:100]:
+def prints_with_neighbours(rng, n):
+    prints = [rng.getrandbits(64) for _ in range(n)]
+    for p in prints[: 2 * n // 3]:
         for k in (1, 2, 3, 4):
             prints.append(p ^ sum(1 << b for b in rng.sample(range(64), k)))
-    prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
+    return sorted({p - (1 << 64) if p >> 63 else p for p in prints})
+
+
+def differ(a, b):
+    return ((a ^ b) & (1 << 64) - 1).bit_count()
+
+
+def test_pigeonring_buckets_lose_no_pair():
+    """Every pair within three bits meets in a bucket and passes its chain of three segments; no other pair is linked."""
+    prints = prints_with_neighbours(random.Random(3), 150)
+    keys = simhash.bucket_keys(np.array(prints).view(np.uint64))
+    order = np.argsort(keys.ravel(), kind="stable")
+    rows = np.repeat(np.array(prints), keys.shape[1])[order]
+    found = simhash.bucket_links(keys.ravel()[order], rows.view(np.uint64), keys.ravel()[order] >> 32)
+    got = {tuple(sorted(map(int, rows[pair]))) for pair in found}
+    assert got == {(a, b) for i, b in enumerate(prints) for a in prints[:i] if differ(a, b) <= 3}
+
+
+@pytest.mark.parametrize("large", [20_000, 20])
+def test_links_connect_what_is_within_three_bits(spark, monkeypatch, large):
+    """Also where a bucket is compared by pairs of parts; one cluster has more prints than a small bucket."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng = random.Random(4)
+    base = rng.getrandbits(62)
+    crowd = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(200)}
+    prints = sorted({p - (1 << 64) if p >> 63 else p for p in crowd} | set(prints_with_neighbours(rng, 40)))
     got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
-    want = {(a, b) for i, b in enumerate(prints) for a in prints[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
-    assert got == want
-
-
-def test_near_copies_are_the_groups_of_all_pairs(awkward, documents):
-    for docs in (awkward, documents):
-        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-        prints = [int.from_bytes(near_copies.fingerprint((t or "").encode()), "big") for _, t in rows]
-        want = expected_groups(rows, prints, lambda a, b: (a ^ b).bit_count() <= near_copies.MOST)
-        assert by_id((r.doc_id, r.component) for r in near_copies.components(docs).collect()) == by_id(want)
-
-
-def test_near_copies_at_a_similarity_of_four_fifths(spark):
-    """Copies in which few enough words are changed that four fifths of the shingles stay are found; others stay apart."""
-    rng = random.Random(5)
-    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprstvz" for b in ("a", "ei", "o", "ur") for c in ("n", "sta", "rim", "lok", "t")]
-    texts, copies = [], []
-    for i in range(60):
-        words = [rng.choice(vocabulary) for _ in range(rng.randint(150, 800))]
-        texts.append((i, " ".join(words), "a"))
-        changed = list(words)
-        for at in rng.sample(range(len(words)), max(1, len(words) // 60)):
-            changed[at] = rng.choice(vocabulary)
-        shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, changed)]
-        assert len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1]) >= 0.8
-        copies.append((1000 + i, " ".join(changed), "a"))
-    found = {r.doc_id: r.component for r in near_copies.components(frame(spark, texts + copies)).collect()}
-    assert sum(found[1000 + i] == i for i in range(60)) == 60
-    assert all(found[i] == i for i in range(60))
-
-
-def test_large_buckets_give_the_same_links(spark, monkeypatch):
-    rng = random.Random(9)
-    base = [rng.getrandbits(128) for _ in range(3)]
-    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(128), rng.randint(0, 6))) for b in base for _ in range(60)})
-    split = lambda v: v - (1 << 64) if v >> 63 else v
-    df = spark.createDataFrame([(split(p >> 64), split(p & (1 << 64) - 1)) for p in prints], "hi long, lo long").cache()
-    monkeypatch.setattr(near_copies, "LARGE", 20)
-    number = {p.to_bytes(16, "big"): i for i, p in enumerate(prints)}
-    links = [(number[bytes(r.a)], number[bytes(r.b)]) for r in near_copies.links(df).collect()]
-    pairs = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= near_copies.MOST]
-    assert roots(len(prints), links) == roots(len(prints), pairs)
+    assert all(a < b and differ(a, b) <= 3 for a, b in got)
+    number = {p: i for i, p in enumerate(prints)}
+    pairs = [(i, j) for i, b in enumerate(prints) for j, a in enumerate(prints[:i]) if differ(a, b) <= 3]
+    assert roots(len(prints), [(number[a], number[b]) for a, b in got]) == roots(len(prints), pairs)
+    assert len(got) < len(pairs)
 
 
 def test_deduplicated_keeps_one_of_each_group_and_all_columns(awkward):
-    kept = near_copies.deduplicated(awkward)
+    kept = shingle_sets.deduplicated(awkward)
     assert kept.columns == awkward.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert ids.count(6) == 1 and 7 not in ids and 17 not in ids and 1 in ids and 2 not in ids and 10 in ids
@@ -124,8 +111,7 @@ def test_deduplicated_keeps_one_of_each_group_and_all_columns(awkward):
 
 def test_empty_tables(empty):
     assert simhash.components(empty).count() == 0
-    assert near_copies.components(empty).count() == 0
-    assert near_copies.deduplicated(empty).count() == 0
+    assert shingle_sets.deduplicated(empty).count() == 0
 
 
 @pytest.mark.parametrize("links", [[], [(1, 1), (None, 2)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 40)], [(5, 3), (3, 5), (9, 8), (8, 7)]])
@@ -190,4 +176,4 @@ def test_cover_tree_with_small_blocks(spark, monkeypatch):
 
 
 def test_story_is_near_itself():
-    assert near_copies.fingerprint(STORY.encode()) == near_copies.fingerprint(STORY.upper().encode())
+    assert simhash.fingerprint(STORY.encode(), 3) == simhash.fingerprint(STORY.upper().encode(), 3)
