@@ -5,14 +5,19 @@ network, issuer or prefix of a number, and the kind itself. A term in the same d
 far as seeing the term tells that the entity is there: PMI(term; entity) = log2(p(entity | term) / p(entity)), as a
 share of the entity's information content -log2 p(entity), the most that can be disclosed (Sanchez and Batet,
 "C-sanitized"). All probabilities are shares of the corpus' different texts, exact copies counting once; of the texts
-that hold both, one is taken off, as it may do so by chance. A term whose share reaches the threshold, and that stands
-with the entity in several texts, is marked in every document that holds it, with the entity or without. When texts are
-sanitised, a term that discloses entities of one kind is generalised to that kind, one of several kinds is removed.
+that hold both, one is taken off, as it may do so by chance. A term discloses an entity if its share reaches the
+threshold, if it leaves no more than one bit of doubt (it is rather there than not), and if so many texts hold both
+that chance doesn't explain it: in a corpus in which nothing belongs together, FALSE_PAIRS of all pairs of an entity
+and a term would be expected at most. Such a term is marked in every document that holds it, with the entity or
+without. When texts are sanitised, a term that discloses entities of one kind is generalised to that kind, one of
+several kinds is removed.
 Everything here is Spark SQL functions and joins.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ TERM_PATTERN = r"\p{L}++"
 #: The share of an entity's information content that a term may disclose, and the different texts holding both that are
 #: needed before anything is concluded from a term.
 DISCLOSURE, CONTEXTS = 0.75, 3
+#: The doubt in bits that a disclosing term may leave, and the pairs that chance may explain.
+DOUBT, FALSE_PAIRS = 1.0, 1.0
 #: Up to so many candidate terms (some 50 bytes each) are sent to all tasks, to be counted alone; beyond, all terms are.
 BROADCAST_TERMS = 500_000
 _OPEN, _SHUT, _NEITHER = "\x01", "\x02", "\x03"
@@ -146,7 +153,9 @@ def disclosing(marks: DataFrame) -> DataFrame:
     per_entity = stored(per_entity, "pii-entities")
     held = mentions.select(F.explode("entities").alias("entity"), "terms").join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi")
     both = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_texts"))
-    pairs = stored(both.filter(F.col("both_texts") >= CONTEXTS), "pii-pairs")
+    both = stored(both, "pii-both")
+    tried = float(max(both.count(), 1))
+    pairs = both.filter(F.col("both_texts") >= CONTEXTS)
     candidates = stored(pairs.select(F.col("term").alias("c")).distinct(), "pii-candidates")
     # summed up by term before anything is joined: how many rows a frequent term has doesn't matter
     words = texts.select(F.explode(_terms()).alias("w"))
@@ -154,9 +163,14 @@ def disclosing(marks: DataFrame) -> DataFrame:
     counted = (words.join(F.broadcast(candidates), F.col("w") == F.col("c"), "left_semi") if few else words).groupBy("w").agg(F.count(F.lit(1)).alias("term_texts"))
     counted = stored(counted.filter(F.col("term_texts") >= CONTEXTS), "pii-terms")
     content = -F.log2(F.col("entity_texts") / F.lit(size))
-    pmi = content + F.log2((F.col("both_texts") - 1) / F.col("term_texts"))
+    told = (F.col("both_texts") - 1) / F.col("term_texts")
+    pmi = content + F.log2(told)
+    # Chernoff's bound on the chance that so many of the term's texts hold the entity
+    mean = F.col("term_texts") * F.col("entity_texts") / F.lit(size)
+    chance = F.col("both_texts") * (1 + F.ln(mean / F.col("both_texts"))) - mean
     scored = pairs.join(per_entity, F.col("entity") == F.col("e")).join(counted, F.col("term") == F.col("w"))
     scored = scored.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
+    scored = scored.filter((told >= 2.0**-DOUBT) & (F.col("both_texts") > mean) & (chance <= math.log(FALSE_PAIRS / tried)))
     return stored(scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure"), "pii-disclosing")
 
 

@@ -130,7 +130,9 @@ def plain_spans(texts):
     disclosed = set()
     for (entity, term), n in both.items():
         content = -math.log2(has[entity] / len(whole))
-        if n >= pii.CONTEXTS and content > 0 and (content + math.log2((n - 1) / holds[term])) / content >= pii.DISCLOSURE:
+        mean = holds[term] * has[entity] / len(whole)
+        chance = n * (1 + math.log(mean / n)) - mean if n > mean else 0
+        if n >= pii.CONTEXTS and content > 0 and (n - 1) / holds[term] >= 0.5 and chance <= -math.log(len(both)) and (content + math.log2((n - 1) / holds[term])) / content >= pii.DISCLOSURE:
             disclosed.add(term)
     return [[(m.start(), len(pii.KINDS), m.end()) for m in re.finditer(r"[^\W\d_]+", b) if m[0].lower() in disclosed] for b in blank], found
 
@@ -139,7 +141,7 @@ PERSONAL = [
     (1, "Write to Ann Bell at ann.bell@mail.example.org today, says Bellweather", "a"), (2, "the desk of Bellweather: ann.bell@mail.example.org or +44 (20) 7946-0958.", "a"),
     (3, "ANN.BELL@MAIL.EXAMPLE.ORG is known to Bellweather and others, see 10.0.0.1 and 300.1.1.1", "b"), (4, "call +1 212 555 0100 or +12345 or pay 4111-1111-1111-1111 / 4111 1111 1111 1112", "b"),
     (5, None, "a"), (6, "", None), (7, "a@b.c@d.e x@y a.b@c..d@e.f_g@h.i 1.2.3.4.5.6.7.8 01.002.0003.255 1.2.3.999999999999", "a"), (None, "🙂 漢字 mail: q@r.st 🙂", "a"), (8, "+" * 50 + "1234567890 +1-" + "2" * 30, "a"),
-    (9, "\x01\x02 1.1.1.1 \x03", "a"), (9, "\x01\x02 1.1.1.1 \x03", "a"), (10, "7" * 3000 + " " + "1 " * 2000, "a"), *[(60 + i, f"other text {i} of its own", "b") for i in range(20)], *[(20 + i, f"plain words number {w} about nothing", "a") for i, w in enumerate(["rain", "snow", "hail", "wind"])],
+    (9, "\x01\x02 1.1.1.1 \x03", "a"), (9, "\x01\x02 1.1.1.1 \x03", "a"), (10, "7" * 3000 + " " + "1 " * 2000, "a"), *[(160 + i, f"other text {i} of its own", "b") for i in range(80)], *[(20 + i, f"plain words number {w} about nothing", "a") for i, w in enumerate(["rain", "snow", "hail", "wind"])],
 ]
 
 
