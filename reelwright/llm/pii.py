@@ -8,7 +8,7 @@ share of the entity's information content -log2 p(entity), the most that can be
 that hold both, one is taken off, as it may do so by chance. A term discloses an entity if its share reaches the
 threshold, if it leaves no more than one bit of doubt (it is rather there than not), and if so many texts hold both
 that chance doesn't explain it: in a corpus in which nothing belongs together, FALSE_PAIRS of all pairs of an entity
-and a term would be expected at most. Such a term is marked in every document that holds it, with the entity or
+and a term would be expected at most (by a bound that is some times too high). Such a term is marked in every document that holds it, with the entity or
 without. When texts are sanitised, a term that discloses entities of one kind is generalised to that kind, one of
 several kinds is removed.
 Everything here is Spark SQL functions and joins.
@@ -41,7 +41,7 @@ TERM_PATTERN = r"\p{L}++"
 #: needed before anything is concluded from a term.
 DISCLOSURE, CONTEXTS = 0.75, 3
 #: The doubt in bits that a disclosing term may leave, and the pairs that chance may explain.
-DOUBT, FALSE_PAIRS = 1.0, 1.0
+DOUBT, FALSE_PAIRS = 1.0, 5.0
 #: Up to so many candidate terms (some 50 bytes each) are sent to all tasks, to be counted alone; beyond, all terms are.
 BROADCAST_TERMS = 500_000
 _OPEN, _SHUT, _NEITHER = "\x01", "\x02", "\x03"
@@ -153,9 +153,9 @@ def disclosing(marks: DataFrame) -> DataFrame:
     per_entity = stored(per_entity, "pii-entities")
     held = mentions.select(F.explode("entities").alias("entity"), "terms").join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi")
     both = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_texts"))
-    both = stored(both, "pii-both")
-    tried = float(max(both.count(), 1))
-    pairs = both.filter(F.col("both_texts") >= CONTEXTS)
+    pairs = stored(both.filter(F.col("both_texts") >= CONTEXTS), "pii-pairs")
+    # no more pairs than there are terms beside entities
+    tried = float(held.agg(F.sum(F.size("terms"))).first()[0] or 1)
     candidates = stored(pairs.select(F.col("term").alias("c")).distinct(), "pii-candidates")
     # summed up by term before anything is joined: how many rows a frequent term has doesn't matter
     words = texts.select(F.explode(_terms()).alias("w"))

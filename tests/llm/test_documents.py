@@ -127,12 +127,13 @@ def plain_spans(texts):
     has = Counter(e for entities, _ in whole.values() for e in entities)
     holds = Counter(w for _, words in whole.values() for w in words)
     both = Counter((e, w) for entities, words in whole.values() for e in entities for w in words)
+    tried = sum(len(words) * sum(has[e] >= pii.CONTEXTS for e in entities) for entities, words in whole.values())
     disclosed = set()
     for (entity, term), n in both.items():
         content = -math.log2(has[entity] / len(whole))
         mean = holds[term] * has[entity] / len(whole)
         chance = n * (1 + math.log(mean / n)) - mean if n > mean else 0
-        if n >= pii.CONTEXTS and content > 0 and (n - 1) / holds[term] >= 0.5 and chance <= -math.log(len(both)) and (content + math.log2((n - 1) / holds[term])) / content >= pii.DISCLOSURE:
+        if n >= pii.CONTEXTS and content > 0 and (n - 1) / holds[term] >= 0.5 and chance <= math.log(pii.FALSE_PAIRS / max(tried, 1)) and (content + math.log2((n - 1) / holds[term])) / content >= pii.DISCLOSURE:
             disclosed.add(term)
     return [[(m.start(), len(pii.KINDS), m.end()) for m in re.finditer(r"[^\W\d_]+", b) if m[0].lower() in disclosed] for b in blank], found
 
