@@ -58,3 +58,22 @@ def shifted(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
     means = met.groupBy("pair", "offset").agg(F.round(F.avg(1 / (1 + F.abs(F.col("xa") - F.col("xb")))), 6).alias("similarity"))
     first = Window.partitionBy("pair").orderBy(F.desc("similarity"), "offset")
     return means.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
+
+
+def within(rows: DataFrame, group: str, key: str, value: str, tolerance: float) -> DataFrame:
+    """(group, first, second), first < second: the pairs of a group's rows whose values differ by no more than a tolerance.
+
+    A band join as an equi-join: values lie in bins of the tolerance's width, and a row looks into its own bin and the
+    two beside it, so that rows far apart never meet. Where a value is null or zero it is unknown, and the row goes with
+    all others of its group.
+    """
+    known = F.col(value).isNotNull() & (F.col(value) != 0)
+    bin_ = F.floor(F.col(value) / tolerance)
+    left = rows.filter(known).select(group, F.col(key).alias("first"), F.col(value).alias("v1"), F.explode(F.array(bin_ - 1, bin_, bin_ + 1)).alias("bin"))
+    right = rows.filter(known).select(group, F.col(key).alias("second"), F.col(value).alias("v2"), bin_.alias("bin"))
+    near = left.join(right, [group, "bin"]).filter((F.col("first") < F.col("second")) & (F.abs(F.col("v1") - F.col("v2")) <= tolerance))
+    unknown = rows.filter(~F.coalesce(known, F.lit(False))).select(group, F.col(key).alias("k"))
+    others = rows.select(group, F.col(key).alias("o"), F.coalesce(known, F.lit(False)).alias("known"))
+    # two unknown ones meet twice: once from each side
+    open_ = unknown.join(others, group).filter((F.col("k") != F.col("o")) & (F.col("known") | (F.col("k") < F.col("o"))))
+    return near.select(group, "first", "second").union(open_.select(group, F.least("k", "o"), F.greatest("k", "o")))

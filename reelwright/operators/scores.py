@@ -26,8 +26,9 @@ def scorecard(scores: DataFrame) -> DataFrame:
 def verdict(card: DataFrame) -> DataFrame:
     """One row over a scorecard: wins of each side, issues, and the recommendation."""
     wins = card.agg(F.count_if(F.col("winner") == "A").alias("a_wins"), F.count_if(F.col("winner") == "B").alias("b_wins"), F.count(F.lit(1)).alias("issues"))
-    won = lambda s: F.format_string(f"Source {s} recommended (%d/%d)", F.greatest("a_wins", "b_wins"), F.col("issues"))
-    return wins.withColumn("verdict", F.when(F.col("a_wins") > F.col("b_wins"), won("A")).when(F.col("b_wins") > F.col("a_wins"), won("B")).otherwise("Sources are equivalent"))
+    won = lambda s: F.format_string(f"✅ Source {s} is recommended (%d/%d categories)", F.greatest("a_wins", "b_wins"), F.col("issues"))
+    equal = F.format_string("⚖️ Sources are equivalent (%d categories each)", "a_wins")
+    return wins.withColumn("verdict", F.when(F.col("a_wins") > F.col("b_wins"), won("A")).when(F.col("b_wins") > F.col("a_wins"), won("B")).otherwise(equal))
 
 
 def frame_summary(frames: DataFrame, key: str, above: float) -> DataFrame:

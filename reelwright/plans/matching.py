@@ -113,14 +113,17 @@ def shifted_sequence_alignment(spark, sf):
     return joins.shifted(e.select(F.col("user_id").alias("pair"), "i", "x"), e.select((F.col("user_id") - 1).alias("pair"), "i", "x"), 5)
 
 
-@query("""WITH c AS (SELECT o_custkey, o_orderkey, o_totalprice, lead(o_orderkey) OVER w AS next_order, lead(o_totalprice) OVER w AS next_price FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
-SELECT o_custkey, o_orderkey, next_order FROM c WHERE next_order IS NOT NULL AND (o_totalprice IS NULL OR next_price IS NULL OR abs(o_totalprice - next_price) <= 50000)""")
+_PRICES = "SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 97 <> 0 THEN o_totalprice END AS price FROM orders"
+
+
+@query(f"""WITH o AS ({_PRICES}) SELECT a.o_custkey, a.o_orderkey AS first, b.o_orderkey AS second FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
+WHERE a.price IS NULL OR a.price = 0 OR b.price IS NULL OR b.price = 0 OR NOT abs(a.price - b.price) > 5000""")
 def pair_gate_theta(spark, sf):
-    """Neighbouring orders of a customer that pass the tolerance gate; an unknown side passes."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.lead("o_orderkey").over(w).alias("next_order"), F.lead("o_totalprice").over(w).alias("next_price"))
-    near = F.col("o_totalprice").isNull() | F.col("next_price").isNull() | (F.abs(F.col("o_totalprice") - F.col("next_price")) <= 50000)
-    return o.filter(F.col("next_order").isNotNull() & near).select("o_custkey", "o_orderkey", "next_order")
+    """All pairs of a customer's orders whose prices are within the tolerance; an unknown or zero side passes."""
+    price = F.when(F.col("o_orderkey") % 97 != 0, F.col("o_totalprice"))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", price.alias("price"))
+    pairs = joins.within(o, "o_custkey", "o_orderkey", "price", 5000.0)
+    return pairs.select("o_custkey", "first", "second")
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -197,7 +200,7 @@ def issue_scorecard(spark, sf):
 c AS (SELECT issue, round(avg(score) FILTER (side = 0), 6) AS a, round(avg(score) FILTER (side = 1), 6) AS b FROM s WHERE score >= 0 GROUP BY issue),
 w AS (SELECT CASE WHEN a IS NULL THEN 'B' WHEN b IS NULL THEN 'A' WHEN abs(a - b) < 2 THEN 'Tie' WHEN a < b THEN 'A' ELSE 'B' END AS winner FROM c),
 n AS (SELECT count(*) FILTER (winner = 'A') AS a_wins, count(*) FILTER (winner = 'B') AS b_wins, count(*) AS issues FROM w)
-SELECT *, CASE WHEN a_wins > b_wins THEN 'Source A recommended (' || a_wins || '/' || issues || ')' WHEN b_wins > a_wins THEN 'Source B recommended (' || b_wins || '/' || issues || ')' ELSE 'Sources are equivalent' END AS verdict FROM n""")
+SELECT *, CASE WHEN a_wins > b_wins THEN '✅ Source A is recommended (' || a_wins || '/' || issues || ' categories)' WHEN b_wins > a_wins THEN '✅ Source B is recommended (' || b_wins || '/' || issues || ' categories)' ELSE '⚖️ Sources are equivalent (' || a_wins || ' categories each)' END AS verdict FROM n""")
 def ab_verdict(spark, sf):
     """Which source wins more issues."""
     return scores.verdict(issue_scorecard(spark, sf))

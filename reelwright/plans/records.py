@@ -60,20 +60,34 @@ def eav_pivot(spark, sf):
     return logs.pivot_attributes(lines, ["l_orderkey", "l_linenumber"], "order", {1: "quantity", 2: "price", 3: "discount", 4: "tax"})
 
 
-@query("""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
-SELECT event_id, array_to_string(list_filter([CASE WHEN k & 1 <> 0 THEN 'flag1' END, CASE WHEN k & 2 <> 0 THEN 'flag2' END, CASE WHEN k & 4 <> 0 THEN 'flag4' END, CASE WHEN k & 8 <> 0 THEN 'flag8' END, CASE WHEN k & 16 <> 0 THEN 'flag16' END, CASE WHEN k & 32 <> 0 THEN 'flag32' END, CASE WHEN k & 64 <> 0 THEN 'flag64' END], lambda x: x IS NOT NULL), ',') AS flags FROM k""")
+@query("""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) * 1237 % 65536 * CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS k,
+CASE event_id % 3 WHEN 0 THEN 'A forced track' WHEN 1 THEN 'Comment and DESCRIPTION' END AS text FROM events),
+b AS (SELECT event_id, text, list_filter([CASE WHEN k & 1 <> 0 THEN 'Director''s Comments' END, CASE WHEN k & 2 <> 0 THEN 'Alternate Director''s Comments' END, CASE WHEN k & 4 <> 0 THEN 'For Visually Impaired' END,
+CASE WHEN k & 256 <> 0 THEN 'Core Audio' END, CASE WHEN k & 512 <> 0 THEN 'Secondary Audio' END, CASE WHEN k & 1024 <> 0 THEN 'Has Core Audio' END, CASE WHEN k & 2048 <> 0 THEN 'Derived Stream' END,
+CASE WHEN k & 4096 <> 0 THEN 'Forced Subtitles' END, CASE WHEN k & 16384 <> 0 THEN 'Profile Secondary Stream' END, CASE WHEN k & 32768 <> 0 THEN 'Offset Sequence ID Present' END], lambda x: x IS NOT NULL) AS f FROM k)
+SELECT event_id, array_to_string(CASE WHEN len(f) > 0 THEN f ELSE list_filter([CASE WHEN contains(lower(text), 'forced') THEN 'Forced Subtitles' END, CASE WHEN contains(lower(text), 'comment') THEN 'Commentary' END,
+CASE WHEN contains(lower(text), 'description') THEN 'Audio Description' END], lambda x: x IS NOT NULL) END, ',') AS flags FROM b""")
 def flag_decode(spark, sf):
-    """Labels of the bits of an attribute."""
-    k = F.get_json_object("props", "$.k").try_cast("int")
-    return table(spark, sf, "events").select("event_id", F.array_join(S.labels_of_bits(k), ",").alias("flags"))
+    """Labels of a stream's flags, by bits or else by words of its description."""
+    k = F.when(F.col("event_id") % 4 == 0, 0).otherwise(F.get_json_object("props", "$.k").try_cast("int") * 1237 % 65536)
+    text = F.when(F.col("event_id") % 3 == 0, "A forced track").when(F.col("event_id") % 3 == 1, "Comment and DESCRIPTION")
+    return table(spark, sf, "events").select("event_id", F.array_join(S.stream_flags(k, text), ",").alias("flags"))
 
 
-@query("""SELECT event_id, CASE WHEN regexp_matches(lower(event_type || ' ' || props), 'error|fail') THEN 'error' WHEN regexp_matches(lower(event_type || ' ' || props), 'warning|skip') THEN 'warning' ELSE 'info' END AS severity,
-CASE WHEN event_type = 'error' THEN event_id % 4 END AS code, CASE event_id % 4 WHEN 0 THEN 'Success' WHEN 1 THEN 'Completed with errors' WHEN 2 THEN 'Failed' ELSE 'Exit code ' || (event_id % 4) END AS message FROM events""")
+@query("""WITH e AS (SELECT event_id, event_type || CASE event_id % 5 WHEN 0 THEN ' was Skipped ' WHEN 1 THEN ' gave a Warning ' ELSE ' ' END || props AS text, CASE event_id % 7 WHEN 0 THEN 516 WHEN 1 THEN 1028 ELSE 260 END AS flags FROM events)
+SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'info' WHEN flags = 516 THEN 'error' WHEN flags = 1028 THEN 'warning' WHEN regexp_matches(lower(text), 'error|fail') THEN 'error' WHEN regexp_matches(lower(text), 'warning|skip') THEN 'warning' ELSE 'info' END AS severity,
+CASE WHEN event_id % 11 = 0 THEN '' ELSE CAST(1000 + event_id % 5000 AS VARCHAR) END AS code, CASE WHEN event_id % 11 = 0 THEN 'MSG:none' ELSE text END AS message,
+CASE WHEN regexp_matches(lower(text), 'error|fail') THEN 'error' WHEN regexp_matches(lower(text), 'warning') THEN 'warning' ELSE 'info' END AS plain,
+CASE event_id % 4 WHEN 0 THEN 'Success' WHEN 1 THEN 'Failed (check log for details)' WHEN 2 THEN 'Failed (invalid command line arguments)' ELSE 'Failed (exit code 3)' END AS exit FROM e""")
 def severity_route(spark, sf):
-    """Severity of log lines by keywords, and the text of an exit code."""
-    code = F.col("event_id") % 4
-    return table(spark, sf, "events").select("event_id", S.severity(F.concat_ws(" ", "event_type", "props")).alias("severity"), F.when(F.col("event_type") == "error", code).alias("code"), S.exit_message(code).alias("message"))
+    """Severity, code and text of message lines by their flags and words, that of plain lines, and the text of an exit code."""
+    i = F.col("event_id")
+    text = F.concat("event_type", F.when(i % 5 == 0, " was Skipped ").when(i % 5 == 1, " gave a Warning ").otherwise(" "), "props")
+    flags = F.when(i % 7 == 0, "516").when(i % 7 == 1, "1028").otherwise("260")
+    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    line = F.when(i % 11 == 0, "MSG:none").otherwise(F.concat(F.lit("MSG:"), (1000 + i % 5000).cast("string"), F.lit(","), flags, F.lit(',2,"'), quoted, F.lit('","%1","x"')))
+    e = table(spark, sf, "events").select("event_id", text.alias("text"), S.message(line).alias("m"))
+    return e.select("event_id", "m.severity", "m.code", "m.message", S.severity("text").alias("plain"), S.exit_message(F.col("event_id") % 4).alias("exit"))
 
 
 @query(r"""SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT), 0) AS number, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), ''), 'und') AS host,
@@ -110,8 +124,9 @@ def human_sizes(spark, sf):
 
 
 @query("""WITH v AS (SELECT vec_id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y FROM embeddings)
-SELECT vec_id, CASE WHEN sqrt(x * x + y * y) <= 3 THEN 'Neutral' WHEN abs(x) > 2 * abs(y) THEN CASE WHEN x > 0 THEN 'Red' ELSE 'Green' END WHEN abs(y) > 2 * abs(x) THEN CASE WHEN y > 0 THEN 'Yellow' ELSE 'Blue' END
-WHEN x > 0 AND y > 0 THEN 'Orange' WHEN x > 0 THEN 'Magenta' WHEN y > 0 THEN 'Yellow-green' ELSE 'Cyan' END AS cast_class FROM v""")
+SELECT vec_id, CASE WHEN NOT sqrt(x * x + y * y) > 3 THEN 'Neutral'
+WHEN abs(x) > abs(y) AND x > 0 THEN CASE WHEN y > 0 THEN 'Red/Yellow' ELSE 'Red/Magenta' END WHEN abs(x) > abs(y) THEN CASE WHEN y > 0 THEN 'Green/Yellow' ELSE 'Green/Cyan' END
+WHEN y > 0 THEN CASE WHEN x > 0 THEN 'Yellow/Red (Warm)' ELSE 'Yellow/Green' END WHEN x > 0 THEN 'Blue/Magenta' ELSE 'Blue/Cyan (Cool)' END AS cast_class FROM v""")
 def color_cast_class(spark, sf):
     """Direction of a colour cast."""
     x, y = (F.get("embedding", F.lit(i)).cast("double") * 20 for i in (0, 1))
@@ -180,14 +195,31 @@ def changed_attributes(spark, sf):
     return old.join(new, F.col("c_custkey") == F.col("k"), "left").filter("new <> old").select("c_custkey", "old", "new")
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), '\\beconomy\\b') THEN 'eco' WHEN regexp_matches(lower(p_type), '\\b(standard|medium)\\b') THEN 'std' WHEN regexp_matches(lower(p_type), '\\bpromo\\b') THEN 'pro' ELSE lower(p_type) END AS family,
-CASE p_size WHEN 1 THEN 'Mono' WHEN 2 THEN 'Stereo' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' ELSE p_size || ' Channels' END AS channels,
-upper(substr(p_name, 1, 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) AS title FROM part""".replace("\\\\", "\\"))
+#: Codec texts and language codes as tools give them, dealt out over the parts.
+_CODEC_IDS = ("V_MPEGH/ISO/HEVC", "V_MPEG4/ISO/AVC h264", "V_VC1 VC-1", "V_MPEG2 mpeg2", "A_TRUEHD TrueHD Atmos", "A_EAC3 EAC3", "A_AC3 AC3", "A_DTS DTS-HD MA", "A_DTS DTS-HD", "DTS:X", "A_DTS dts", "A_PCM LPCM", "A_FLAC flac", "AAC", "S_HDMV/PGS", "DVD subs", "S_TEXT srt", "none")
+_CODES = ("eng", "SPA", "fra", "xyz", "", "und")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_name, p_size, {list(_CODEC_IDS)}[CAST(p_partkey % 18 + 1 AS INTEGER)] AS id, ['Video', 'Audio', 'Subtitles', 'Other'][CAST(p_partkey // 18 % 4 + 1 AS INTEGER)] AS kind,
+CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE '' END AS short, {list(_CODES)}[CAST(p_partkey % 6 + 1 AS INTEGER)] AS code FROM part), q AS (SELECT *, lower(id || ' ' || short || ' ' || p_name) AS t FROM p)
+SELECT p_partkey, CASE WHEN short <> '' THEN short
+WHEN kind = 'Video' THEN CASE WHEN regexp_matches(t, '\\b(hevc|h\\.265|h265)\\b') THEN 'HEVC (H.265)' WHEN regexp_matches(t, '\\b(avc|h\\.264|h264)\\b') THEN 'H.264/AVC' WHEN regexp_matches(t, '\\b(vc-1|vc1)\\b') THEN 'VC-1' WHEN regexp_matches(t, '\\b(mpeg-2|mpeg2)\\b') THEN 'MPEG-2' ELSE 'Video' END
+WHEN kind = 'Audio' THEN CASE WHEN regexp_matches(t, '\\batmos\\b') THEN 'Dolby Atmos' WHEN regexp_matches(t, '\\btruehd\\b') THEN 'Dolby TrueHD' WHEN regexp_matches(t, '\\b(e-ac3|eac3|dd\\+|dolby digital plus)\\b') THEN 'Dolby Digital Plus (E-AC-3)'
+ WHEN regexp_matches(t, '\\b(ac3|ac-3|dolby digital|dd )\\b') THEN 'Dolby Digital (AC-3)' WHEN regexp_matches(t, '\\b(dts-hd ma|dts hd ma|dts-hd master audio)\\b') THEN 'DTS-HD Master Audio' WHEN regexp_matches(t, '\\b(dts-hd|dts hd)\\b') THEN 'DTS-HD High Resolution'
+ WHEN regexp_matches(t, '\\b(dts:x|dtsx)\\b') THEN 'DTS:X' WHEN regexp_matches(t, '\\bdts\\b') THEN 'DTS' WHEN regexp_matches(t, '\\b(lpcm|pcm)\\b') THEN 'PCM' WHEN regexp_matches(t, '\\bflac\\b') THEN 'FLAC' WHEN regexp_matches(t, '\\baac\\b') THEN 'AAC' ELSE 'Audio' END
+WHEN kind = 'Subtitles' THEN CASE WHEN regexp_matches(t, '\\bpgs\\b') THEN 'PGS' WHEN regexp_matches(t, '\\b(vobsub|dvd)\\b') THEN 'VobSub' WHEN regexp_matches(t, '\\bsrt\\b') THEN 'SRT' ELSE 'Subtitles' END END AS codec,
+CASE p_size WHEN 1 THEN '1.0 (Mono)' WHEN 2 THEN '2.0 (Stereo)' WHEN 6 THEN '5.1' WHEN 8 THEN '7.1' ELSE p_size || ' Channels' END AS channels,
+CASE code WHEN 'eng' THEN 'English' WHEN 'SPA' THEN 'Spanish' WHEN 'fra' THEN 'French' WHEN 'und' THEN 'Undetermined' WHEN 'xyz' THEN 'Xyz' END AS language,
+upper(substr(p_name, 1, 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) AS title FROM q""".replace("\\\\", "\\"))
 def label_cascades(spark, sf):
-    """Codec family by ordered keywords, channel layout and a prettified name."""
-    low = F.lower("p_type")
-    family = F.when(low.rlike(r"\beconomy\b"), "eco").when(low.rlike(r"\b(standard|medium)\b"), "std").when(low.rlike(r"\bpromo\b"), "pro").otherwise(low)
-    return table(spark, sf, "part").select("p_partkey", family.alias("family"), S.channel_layout(F.col("p_size").cast("string")).alias("channels"), F.initcap(F.substring_index("p_name", " ", 1)).alias("title"))
+    """Codec names by kind and words, channel layouts, language names and a prettified name."""
+    i = F.col("p_partkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    codec = S.codec_name(pick(_CODEC_IDS, i % 18), F.when(i % 7 == 0, F.col("p_brand")).otherwise(""), F.col("p_name"), pick(("Video", "Audio", "Subtitles", "Other"), F.expr("p_partkey div 18") % 4))
+    return table(spark, sf, "part").select(
+        "p_partkey", codec.alias("codec"), S.channel_layout(F.col("p_size").cast("string")).alias("channels"),
+        S.language_name(pick(_CODES, i % 6)).alias("language"), F.initcap(F.substring_index("p_name", " ", 1)).alias("title"),
+    )
 
 
 @query(r"""WITH l AS (SELECT page_id, unnest(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10))) AS line, generate_subscripts(string_split(replace(html, '><', '>' || chr(10) || '<'), chr(10)), 1) AS n FROM pages)
@@ -219,8 +251,9 @@ def repeating_prefix(spark, sf):
     """The shortest prefix whose repetition makes up three quarters of a signature."""
     s = chapter_signature(spark, sf).withColumn("n", F.length("signature")).filter("n >= 2")
     p = s.select("conv_id", "signature", "n", F.explode(F.sequence(F.lit(1), F.expr("n div 2"))).alias("period"))
-    run = F.length(F.expr("regexp_extract(signature, concat('^(?:', left(signature, period), ')+'), 0)"))
-    return p.filter((run >= 2 * F.col("period")) & (run >= 0.75 * F.col("n"))).groupBy("conv_id").agg(F.min("period").cast("bigint").alias("period"))
+    # so many whole repetitions make up three quarters
+    often = F.ceil(F.lit(0.75) * F.col("n") / F.col("period")).cast("int")
+    return p.filter(F.expr("period") * often <= F.col("n")).filter(F.startswith("signature", F.expr("repeat(left(signature, period), CAST(ceil(0.75D * n / period) AS INT))"))).groupBy("conv_id").agg(F.min("period").cast("bigint").alias("period"))
 
 
 @query()

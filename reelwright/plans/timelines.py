@@ -43,13 +43,14 @@ def delay_vs_anchor(spark, sf):
 
 
 @query("""WITH a AS (SELECT user_id, min(ts) AS anchor FROM events WHERE event_type = 'view' GROUP BY 1),
-d AS (SELECT e.user_id, e.event_id, event_type, props, CAST(round_even((epoch_us(ts) - epoch_us(anchor)) / 1e6::DOUBLE * 1000, 0) AS BIGINT) AS ms FROM events e JOIN a USING (user_id) WHERE event_type <> 'view')
-SELECT event_id, '#' || event_id || '  APPLY ' || format('{:+d}', -ms) || ' ms  relative ' || format('{:+d}', ms) || ' ms  ' || event_type || ' | ' || props AS line FROM d""")
+d AS (SELECT e.user_id, e.event_id, event_type, props, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6::DOUBLE AS s, CAST(round_even((epoch_us(ts) - epoch_us(anchor)) / 1e6::DOUBLE * 1000, 0) AS BIGINT) AS ms FROM events e JOIN a USING (user_id) WHERE event_type <> 'view')
+SELECT event_id, event_type || ':' || rpad(CAST(event_id AS VARCHAR), CAST(greatest(2, length(CAST(event_id AS VARCHAR))) AS INTEGER), ' ') || ' start_s=' || format('{:.6f}', s) || '  relative=' || format('{:+d}', ms) || ' ms  APPLY=' || format('{:+d}', -ms) || ' ms  (mkvmerge --sync 0:' || format('{:+d}', -ms) || ' | ffmpeg -itsoffset ' || format('{:+.3f}', -ms / 1000.0::DOUBLE) || ')    ' || props AS line FROM d""")
 def report_lines(spark, sf):
-    """A report line for each delay: the correction to apply, the delay and its notes."""
-    d = delay_vs_anchor(spark, sf).filter("delay_ms IS NOT NULL").join(_events(spark, sf).select("event_id", "props"), "event_id")
-    notes = F.array_join(F.filter(F.array("kind", "props"), lambda x: x.isNotNull() & (x != "")), " | ")
-    return d.select("event_id", F.format_string("#%d  APPLY %s  relative %s  %s", "event_id", S.signed_ms(-F.col("delay_ms")), S.signed_ms("delay_ms"), notes).alias("line"))
+    """A report line for each delay: start, delay, what to apply, and notes."""
+    start = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))) / 1e6
+    d = delay_vs_anchor(spark, sf).filter("delay_ms IS NOT NULL").join(_events(spark, sf).select("event_id", "props", start.alias("s")), "event_id")
+    notes = F.array_join(F.filter(F.array("props"), lambda x: x.isNotNull() & (x != "")), " | ")
+    return d.select("event_id", S.delay_line("kind", "event_id", "s", "delay_ms", notes).alias("line"))
 
 
 @query("""WITH g AS (SELECT user_id, (epoch_us(min(ts)) - epoch_us(TIMESTAMP '2024-01-01')) / 1000 AS us FROM events GROUP BY 1),
@@ -168,14 +169,14 @@ def dominance_changes(spark, sf):
 
 @query("""WITH u AS (SELECT user_id, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6::DOUBLE AS minutes, avg(value) AS m, max(value) AS x FROM events GROUP BY 1),
 r AS (SELECT *, CASE WHEN minutes > 0 THEN n / minutes ELSE 0.0::DOUBLE END AS rate FROM u)
-SELECT user_id, round(rate, 9) AS rate, round(least(100.0::DOUBLE, rate * 5), 9) AS score, CASE WHEN m > 50 THEN 'severe' WHEN m > 25 THEN 'moderate' WHEN m > 10 THEN 'mild' ELSE 'none' END AS severity,
+SELECT user_id, round(rate, 9) AS rate, round(least(100.0::DOUBLE, rate * 5), 9) AS score, CASE WHEN m > 50 THEN 'Severe' WHEN m > 25 THEN 'Moderate' WHEN m > 10 THEN 'Mild' ELSE 'Minimal' END AS severity,
 CASE WHEN x < 100 THEN 30 WHEN x < 150 THEN 50 WHEN x < 200 THEN 70 ELSE 85 END AS tier, round(0.4::DOUBLE * m + 0.6::DOUBLE * x, 6) AS overall FROM r""")
 def rate_scores(spark, sf):
     """Breaks per minute, severity, tier and weighted score of each file."""
     u = _events(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"), F.avg("value").alias("m"), F.max("value").alias("x"))
     minutes = (F.unix_micros("b") - F.unix_micros("a")) / 60e6
     u = u.withColumn("rate", F.when(minutes > 0, F.col("n") / minutes).otherwise(0.0))
-    severity = F.when(F.col("m") > 50, "severe").when(F.col("m") > 25, "moderate").when(F.col("m") > 10, "mild").otherwise("none")
+    severity = S.severity_label("m")
     tier = F.when(F.col("x") < 100, 30).when(F.col("x") < 150, 50).when(F.col("x") < 200, 70).otherwise(85)
     return u.select("user_id", F.round("rate", 9).alias("rate"), F.round(F.least(F.lit(100.0), F.col("rate") * 5), 9).alias("score"), severity.alias("severity"), tier.alias("tier"), F.round(0.4 * F.col("m") + 0.6 * F.col("x"), 6).alias("overall"))
 

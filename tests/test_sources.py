@@ -18,8 +18,9 @@ def of(spark, function, *values, kind="string"):
         (S.clock_seconds, {"1:02:03": 3723, "02:03": 123, "x": None, "1:x:2": None, None: None}),
         (S.clock_micros, {"00:00:01.5": 1_500_000, "01:00:00.1234567": 3_600_123_456, "00:00:02": 2_000_000, "x": None}),
         (S.frames_per_second, {"24000/1001": 24000 / 1001, "25": 25.0, "1/0": 24.0, "x": 24.0, None: 24.0}),
-        (S.size_bytes, {"12": 12, "1.5 KB": 1536, "2 MB": 2 << 20, "1 GB": 1 << 30, "x": 0, None: 0}),
-        (S.channel_layout, {"1": "Mono", "2": "Stereo", "6": "5.1", "8": "7.1", "3": "3 Channels", "x": None}),
+        (S.size_bytes, {"12": 12, "1.5 KB": 1536, "2 mb": 2 << 20, "1 Gb": 1 << 30, "4.5GB": 4831838208, "x": 0, None: 0}),
+        (S.channel_layout, {"1": "1.0 (Mono)", "2": "2.0 (Stereo)", "6": "5.1", "8": "7.1", "3": "3 Channels", "x": None, None: None}),
+        (S.language_name, {"ENG": "English", "und": "Undetermined", "gle": "Gle", "": None, None: None}),
         (S.safe_name, {"a/b:c": "a b c", "  ": "Unnamed", None: "Unnamed", "ok": "ok"}),
     ],
 )
@@ -79,3 +80,33 @@ def test_windows_of_streams_equal_those_of_tables(spark, tmp_path):
     job = stream.writeStream.format("memory").queryName("daily").outputMode("complete").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
     job.awaitTermination()
     assert sorted(map(repr, spark.table("daily").collect())) == sorted(map(repr, windows.tumbling(batch, "1 day").collect()))
+
+
+def test_messages(spark):
+    lines = ['MSG:5,516,0,"all is well"', 'MSG:6,1028,0,"all is well"', 'MSG:7,0,1,"a \\\\"q\\\\" failed","x"', 'MSG:8,0,1,"Skipped"', "MSG:9,0", "MSG:x,0,0,\"a\"", "plain error", 'MSG:10,0,0,no quotes']
+    lines = [x.replace("\\\\", "\\") for x in lines]
+    got = [tuple(m) for m in of(spark, S.message, *lines)]
+    assert got == [("error", "5", "all is well"), ("warning", "6", "all is well"), ("error", "7", 'a "q" failed'), ("warning", "8", "Skipped"), ("info", "", "MSG:9,0"), ("info", "", 'MSG:x,0,0,"a"'), ("info", "", "plain error"), ("info", "10", "")]
+    assert of(spark, S.exit_message, 0, 1, 2, 9, kind="int") == ["Success", "Failed (check log for details)", "Failed (invalid command line arguments)", "Failed (exit code 9)"]
+
+
+def test_stream_flags_and_codecs(spark):
+    rows = spark.createDataFrame([(0, "Forced COMMENTARY"), (4096 + 8, "comment"), (1 + 32768, None), (None, "nothing")], "bits int, text string")
+    assert [r[0] for r in rows.select(S.stream_flags("bits", "text")).collect()] == [["Forced Subtitles", "Commentary"], ["Forced Subtitles"], ["Director's Comments", "Offset Sequence ID Present"], []]
+    cases = [("A_DTS", "", "DTS-HD Master Audio 5.1", "Audio", "DTS-HD Master Audio"), ("A_EAC3", None, "", "Audio", "Audio"), ("EAC3", "", "", "Audio", "Dolby Digital Plus (E-AC-3)"), ("x", "", "", "Subtitles", "Subtitles"), ("x", "Short", "", "Video", "Short"), ("x", "", "", "Menu", None), ("h.264", "", "", "Video", "H.264/AVC")]
+    df = spark.createDataFrame([c[:4] for c in cases], "i string, s string, l string, k string")
+    assert [r[0] for r in df.select(S.codec_name("i", "s", "l", "k")).collect()] == [c[4] for c in cases]
+
+
+def test_casts_and_severity_labels(spark):
+    df = spark.createDataFrame([(4.0, 1.0), (4.0, -1.0), (-4.0, 1.0), (-4.0, -1.0), (1.0, 4.0), (-1.0, 4.0), (1.0, -4.0), (-1.0, -4.0), (3.0, 0.0), (4.0, 4.0)], "a double, b double")
+    assert [r[0] for r in df.select(S.cast_class("a", "b")).collect()] == ["Red/Yellow", "Red/Magenta", "Green/Yellow", "Green/Cyan", "Yellow/Red (Warm)", "Yellow/Green", "Blue/Magenta", "Blue/Cyan (Cool)", "Neutral", "Yellow/Red (Warm)"]
+    assert of(spark, S.severity_label, 51.0, 50.0, 25.0, 10.0, kind="double") == ["Severe", "Moderate", "Mild", "Minimal"]
+
+
+def test_delay_line(spark):
+    df = spark.createDataFrame([("audio", 1, 0.0215, 22, "jpn | aac"), ("subs", 123, 1.0, -7, "")], "k string, i int, s double, d int, n string")
+    assert [r[0] for r in df.select(S.delay_line("k", "i", "s", "d", F.col("n"))).collect()] == [
+        "audio:1  start_s=0.021500  relative=+22 ms  APPLY=-22 ms  (mkvmerge --sync 0:-22 | ffmpeg -itsoffset -0.022)    jpn | aac",
+        "subs:123 start_s=1.000000  relative=-7 ms  APPLY=+7 ms  (mkvmerge --sync 0:+7 | ffmpeg -itsoffset +0.007)",
+    ]
