@@ -32,18 +32,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df written as a table in the shared folder (at path, if it is given) and read again: it survives lost executors and
-    cuts the lineage."""
-    path = path or new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a stored table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: it survives lost executors and cuts the lineage."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables. Only for tables that nothing reads any more: all that was made of them has been stored."""
+    for table in tables:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @functools.cache

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelwright.llm.common import discard, new_folder, stored
+from reelwright.llm.common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,12 +21,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     are plain tables and the links of a node that has very many can be split. Tables of a round go when the next one
     is there. Nulls link nothing, repeated links and loops count once; without links there are no rows.
     """
-    spark = links.sparkSession
-    live: list[str] = []
+    live: list[DataFrame] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
-        live.append(new_folder(spark, name))
-        return stored(df, name, live[-1])
+        live.append(stored(df, name))
+        return live[-1]
 
     ends = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     edges = kept(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -40,9 +39,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         lowest = kept(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), "lowest")
         hooked = large.join(lowest, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = kept(hooked.union(lowest.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "links")
-        for path in live[:-1]:
-            discard(spark, path)
-        live = live[-1:]
+        discard(*live[:-1])
+        del live[:-1]
         now = _state(edges)
         if now == state:
             break

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelwright.llm.common import stored
+from reelwright.llm.common import discard, stored
 
 #: The kinds in their order. Patterns are possessive where giving back can't help, so that matching takes linear time
 #: and no stack; a look-behind (or the end of the match before, \G) keeps a match from being tried within a run.
@@ -171,7 +171,9 @@ def disclosing(marks: DataFrame) -> DataFrame:
     scored = pairs.join(per_entity, F.col("entity") == F.col("e")).join(counted, F.col("term") == F.col("w"))
     scored = scored.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
     scored = scored.filter((told >= 2.0**-DOUBT) & (F.col("both_texts") > mean) & (chance <= math.log(FALSE_PAIRS / tried)))
-    return stored(scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure"), "pii-disclosing")
+    found = stored(scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure"), "pii-disclosing")
+    discard(copies, mentions, per_entity, pairs, candidates, counted)
+    return found
 
 
 def _extra(docs: DataFrame, marks: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -185,11 +187,14 @@ def _extra(docs: DataFrame, marks: DataFrame, terms: DataFrame, id_col: str, tex
     same = F.col("pii_id").eqNullSafe(F.col("x_id")) & (F.col("pii_key") == F.col("x_key"))
     found = marks.select("pii_id", "pii_key", "pii_found").join(held, same).dropDuplicates(["x_id", "x_key"]).select("x_id", "x_key", "pii_found", "pattern", "whats")
     text, plain = _plain(text_col)
-    texts = docs.select(F.col(f"`{id_col}`").alias("pii_id"), F.xxhash64(text).alias("pii_key"), plain.alias("t")).join(stored(found, "pii-patterns"), same).dropDuplicates(["x_id", "x_key"])
+    found = stored(found, "pii-patterns")
+    texts = docs.select(F.col(f"`{id_col}`").alias("pii_id"), F.xxhash64(text).alias("pii_key"), plain.alias("t")).join(found, same).dropDuplicates(["x_id", "x_key"])
     marked = texts.select("x_id", "x_key", "whats", F.regexp_replace(_blanked(F.col("t"), F.col("pii_found")), F.col("pattern"), F.lit(f"{_OPEN}$0{_SHUT}")).alias("t"))
     what = lambda m: F.element_at("whats", m["value"]).alias("what")
     spans = F.transform(_places(F.split("t", _OPEN)), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), (m["start"] + F.length(m["value"])).cast("int").alias("end"), what(m)))
-    return stored(marked.select("x_id", "x_key", spans.alias("extra")), "pii-extra")
+    out = stored(marked.select("x_id", "x_key", spans.alias("extra")), "pii-extra")
+    discard(held, found)
+    return out
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -241,6 +246,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     both = marks.select("pii_id", "pii_key", "pii_found").join(extra, F.col("pii_id").eqNullSafe(F.col("x_id")) & (F.col("pii_key") == F.col("x_key")), "left")
     both = both.filter((F.size("pii_found") > 0) | F.col("extra").isNotNull()).dropDuplicates(["pii_id", "pii_key"])
     spans = stored(both.select("pii_id", "pii_key", _all_spans().alias("pii_spans")), "pii-spans")
+    discard(marks, extra)
     own = {c: f"own{i}" for i, c in enumerate(docs.columns)}
     keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("pii_own"))
     joined = keyed.join(spans, F.col(own[id_col]).eqNullSafe(F.col("pii_id")) & (F.col("pii_own") == F.col("pii_key")), "left")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelwright.llm.common import stored
+from reelwright.llm.common import discard, stored
 
 #: Bytes of a repeated string, of the q-grams of the initial buckets, and of the prefixes that the sorting starts from.
 LENGTH, GRAM, PREFIX = 400, 64, 100
@@ -284,10 +284,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     data = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(data)).alias("tid"), data.alias("text"))
     each = stored(rows.select("id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "text-ids")
-    grams = stored(_grams(rows.select("tid", "text")), "own-grams").withColumn("x", F.xxhash64("tid", "pos", "lo"))
+    grams_ = stored(_grams(rows.select("tid", "text")), "own-grams")
+    grams = grams_.withColumn("x", F.xxhash64("tid", "pos", "lo"))
     # stored, as all sides of joins that are counts by key: read as plain tables, the other side can be split where a key is hot
     shared = stored(grams.groupBy("bucket").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).filter("x1 <> x2").select(F.col("bucket").alias("b")), "shared-grams")
     candidates = stored(grams.join(shared, F.col("bucket") == F.col("b"), "left_semi"), "candidates")
+    discard(grams_, shared)
     same = ["bucket", "around", "lo", "hi"]
     classes = candidates.groupBy(*same).agg(F.min("x").alias("x1"), F.max("x").alias("x2"))
     classes = stored(classes.select(*[F.col(c).alias(f"c_{c}") for c in same], "x1", (F.col("x1") != F.col("x2")).alias("twice")), "surroundings")
@@ -295,6 +297,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for c in same:
         on = on & (F.col(c) == F.col(f"c_{c}"))
     told = stored(candidates.join(classes, on).drop(*[f"c_{c}" for c in same]), "told")
+    discard(candidates, classes)
     whole = told.filter("twice").select("tid", (F.col("pos") - F.col("hi")).cast("long").alias("start"), (F.col("pos") - F.col("lo") + LENGTH).cast("long").alias("end"))
     # what is left to sort: occurrences with surroundings of their own, and one for each class that others share
     open_ = stored(told.filter("NOT twice").select(F.col("bucket").alias("b")).distinct(), "open-buckets")
