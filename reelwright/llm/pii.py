@@ -152,7 +152,11 @@ def disclosing(marks: DataFrame) -> DataFrame:
     per_entity = mentions.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("entity_texts")).filter(F.col("entity_texts") >= CONTEXTS)
     per_entity = stored(per_entity, "pii-entities")
     held = mentions.select(F.explode("entities").alias("entity"), "terms").join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi")
-    both = held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_texts"))
+    # nor can a term that so few texts with any entity hold stand in enough texts with one of them
+    spread = mentions.select(F.explode("terms").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONTEXTS)
+    spread = stored(spread.select("s"), "pii-spread")
+    beside = held.select("entity", F.explode("terms").alias("term")).join(spread, F.col("term") == F.col("s"), "left_semi")
+    both = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_texts"))
     pairs = stored(both.filter(F.col("both_texts") >= CONTEXTS), "pii-pairs")
     # no more pairs than there are terms beside entities
     tried = float(held.agg(F.sum(F.size("terms"))).first()[0] or 1)
@@ -172,7 +176,7 @@ def disclosing(marks: DataFrame) -> DataFrame:
     scored = scored.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
     scored = scored.filter((told >= 2.0**-DOUBT) & (F.col("both_texts") > mean) & (chance <= math.log(FALSE_PAIRS / tried)))
     found = stored(scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure"), "pii-disclosing")
-    discard(copies, mentions, per_entity, pairs, candidates, counted)
+    discard(copies, mentions, per_entity, spread, pairs, candidates, counted)
     return found
 
 
