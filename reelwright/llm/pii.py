@@ -42,7 +42,8 @@ TERM_PATTERN = r"\p{L}++"
 DISCLOSURE, CONTEXTS = 0.75, 3
 #: The doubt in bits that a disclosing term may leave, and the pairs that chance may explain.
 DOUBT, FALSE_PAIRS = 1.0, 5.0
-#: Up to so many candidate terms (some 50 bytes each) are sent to all tasks, to be counted alone; beyond, all terms are.
+#: Up to so many terms beside personal data (some 50 bytes each) are sent to all tasks, to be counted alone; beyond, all
+#: terms are.
 BROADCAST_TERMS = 500_000
 _OPEN, _SHUT, _NEITHER = "\x01", "\x02", "\x03"
 
@@ -147,25 +148,26 @@ def disclosing(marks: DataFrame) -> DataFrame:
     size = float(max(marks.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0), 1))
     texts = marks.join(copies, F.col("pii_key") == F.col("k"), "left").filter("kept IS NULL OR pii_row = kept")
     entities = F.array_distinct(F.flatten(F.transform("pii_found", lambda m: levels(m["entity"]))))
-    mentions = stored(texts.filter(F.size("pii_found") > 0).select(entities.alias("entities"), _terms().alias("terms")), "pii-mentions")
+    mentions = stored(texts.filter(F.size("pii_found") > 0).select("pii_row", entities.alias("entities"), _terms().alias("terms")), "pii-mentions")
     # no term can stand in more texts with an entity than the entity does
     per_entity = mentions.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("entity_texts")).filter(F.col("entity_texts") >= CONTEXTS)
     per_entity = stored(per_entity, "pii-entities")
-    held = mentions.select(F.explode("entities").alias("entity"), "terms").join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi")
-    # nor can a term that so few texts with any entity hold stand in enough texts with one of them
+    # nor in more than there are texts with it and any entity
     spread = mentions.select(F.explode("terms").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONTEXTS)
-    spread = stored(spread.select("s"), "pii-spread")
-    beside = held.select("entity", F.explode("terms").alias("term")).join(spread, F.col("term") == F.col("s"), "left_semi")
-    both = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_texts"))
-    pairs = stored(both.filter(F.col("both_texts") >= CONTEXTS), "pii-pairs")
-    # no more pairs than there are terms beside entities
-    tried = float(held.agg(F.sum(F.size("terms"))).first()[0] or 1)
-    candidates = stored(pairs.select(F.col("term").alias("c")).distinct(), "pii-candidates")
+    spread = stored(spread, "pii-spread")
     # summed up by term before anything is joined: how many rows a frequent term has doesn't matter
     words = texts.select(F.explode(_terms()).alias("w"))
-    few = candidates.count() <= BROADCAST_TERMS
-    counted = (words.join(F.broadcast(candidates), F.col("w") == F.col("c"), "left_semi") if few else words).groupBy("w").agg(F.count(F.lit(1)).alias("term_texts"))
-    counted = stored(counted.filter(F.col("term_texts") >= CONTEXTS), "pii-terms")
+    few = spread.count() <= BROADCAST_TERMS
+    counted = (words.join(F.broadcast(spread.select("s")), F.col("w") == F.col("s"), "left_semi") if few else words).groupBy("w").agg(F.count(F.lit(1)).alias("term_texts"))
+    # a term that too many texts without personal data hold leaves too much doubt about every entity
+    clear = (F.col("n") - 1) / F.col("term_texts") >= 2.0**-DOUBT
+    counted = stored(counted.join(spread, F.col("w") == F.col("s")).filter(clear).select("w", "term_texts"), "pii-terms")
+    entity_of = mentions.select("pii_row", F.explode("entities").alias("entity"), F.size("terms").alias("held")).join(per_entity.select("e"), F.col("entity") == F.col("e"), "left_semi")
+    # no more pairs than there are terms beside entities
+    tried = float(entity_of.agg(F.sum("held")).first()[0] or 1)
+    beside = mentions.select(F.col("pii_row").alias("r"), F.explode("terms").alias("term")).join(counted.select("w"), F.col("term") == F.col("w"), "left_semi")
+    both = beside.join(entity_of, F.col("r") == F.col("pii_row")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both_texts"))
+    pairs = both.filter(F.col("both_texts") >= CONTEXTS)
     content = -F.log2(F.col("entity_texts") / F.lit(size))
     told = (F.col("both_texts") - 1) / F.col("term_texts")
     pmi = content + F.log2(told)
@@ -176,7 +178,7 @@ def disclosing(marks: DataFrame) -> DataFrame:
     scored = scored.withColumn("disclosure", F.when(content > 0, pmi / content).otherwise(F.lit(0.0)))
     scored = scored.filter((told >= 2.0**-DOUBT) & (F.col("both_texts") > mean) & (chance <= math.log(FALSE_PAIRS / tried)))
     found = stored(scored.filter(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure"), "pii-disclosing")
-    discard(copies, mentions, per_entity, spread, pairs, candidates, counted)
+    discard(copies, mentions, per_entity, spread, counted)
     return found
 
 
