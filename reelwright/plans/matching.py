@@ -7,21 +7,10 @@ from pyspark.sql import functions as F
 
 from reelwright.functions import scalars as S
 from reelwright.operators import joins, scores
+from reelwright.plans.registry import registry
 from reelwright.session import table
 
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = registry()
 
 
 def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -7,20 +7,11 @@ from pyspark.sql import functions as F
 
 from reelwright.functions import scalars as S
 from reelwright.operators import scores
+from reelwright.plans.registry import registry
 from reelwright.session import table
 from reelwright.sources import logs
 
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE_SQL, query = registry()
 
 
 def _lines(spark: SparkSession, sf: str):
