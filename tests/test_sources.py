@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelwright.functions import scalars as S
-from reelwright.sources import logs
+from reelwright.sources import discs, logs
 from reelwright.streaming import progress, windows
 
 
@@ -110,3 +110,20 @@ def test_delay_line(spark):
         "audio:1  start_s=0.021500  relative=+22 ms  APPLY=-22 ms  (mkvmerge --sync 0:-22 | ffmpeg -itsoffset -0.022)    jpn | aac",
         "subs:123 start_s=1.000000  relative=-7 ms  APPLY=+7 ms  (mkvmerge --sync 0:+7 | ffmpeg -itsoffset +0.007)",
     ]
+
+
+def test_disc_facts(spark):
+    full = ['CINFO:1,6209,12,"Blu-ray disc"', 'CINFO:2,0,0,"First, label"', 'CINFO:2,0,x,"Later"', 'CINFO:32,0,0,"VOL"', "CINFO:x,0,2,y", 'TINFO:0,2,0,"a"', "TINFO:x", "TCOUNT:?", "TCOUNT:7", "TCOUNT:9"]
+    lines = [("full", n, x) for n, x in enumerate(full)]
+    lines += [("few", 1, "an HD-DVD"), ("few", 2, "a Video_ts folder"), ("few", 3, 'TINFO:4,2,0,"a"'), ("few", 4, 'TINFO:4,9,0,"b"'), ("few", 5, "TINFO:1,2"), ("none", 1, None), (None, 1, "bdplus, aacs")]
+    got = {r.disc: r.asDict() for r in discs.facts(spark.createDataFrame(lines, "disc string, n int, line string").withColumn("code", F.lit(1))).collect()}
+    silent = dict.fromkeys(["found_label", *discs.ATTRIBUTES.values(), "raw_flags"]) | dict.fromkeys(["aacs", "bdplus", "bus_encryption", "has_dvd", "has_bluray", "has_hddvd", "has_aacs_files", "has_bdsvm_files"], False)
+    silent |= {"disc_type": "Unknown", "titles": 0}
+    assert got["none"] == silent | {"disc": "none"}
+    assert got[None] == silent | {"disc": None, "bdplus": True, "aacs": True, "has_aacs_files": True}
+    assert got["few"] == silent | {"disc": "few", "has_dvd": True, "has_hddvd": True, "disc_type": "DVD", "titles": 2}
+    assert got["full"] == silent | {
+        "disc": "full", "found_label": "First, label", "type": "Blu-ray disc", "label": "Later", "volume_name": "VOL",
+        "aacs": True, "bdplus": True, "raw_flags": 12, "has_bluray": True, "disc_type": "Blu-ray", "titles": 7,
+    }
+    assert discs.facts(spark.createDataFrame([], "disc string, n int, line string")).count() == 0
