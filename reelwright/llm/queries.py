@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.llm import bpe, chat, cover_tree, mixing, pii, quality, simhash, suffixes, token_counts, warc
+from reelwright.llm import bpe, chat, cover_tree, divergence, mixing, pii, quality, runs, simhash, suffixes, token_counts, vantage, warc
+
+
+#: How many times op12 takes the triangle inequality's bounds; its recall is measured in tests/llm and in the README.
+RELAXED = 1.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +62,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_planted_period(_table(spark, sf_dir, "documents"))).withColumn("best", runs.strongest("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20, relaxed=RELAXED)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_perspectives": op1_perspectives,
     "op2_token_counts": op2_token_counts,
@@ -69,6 +91,9 @@ QUERIES = {
     "op8_cover_tree": op8_cover_tree,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op11_runs": op11_runs,
+    "op12_nearest": op12_nearest,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +152,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                CAST(size * (copies + CASE WHEN middle <= target - copies * source_size AND target > copies * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON x.source IS NOT DISTINCT FROM d.source AND x.h = d.h""",
+    "op13_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+        l AS (SELECT lang, count(*) AS v, CAST(sum(lang_n) AS BIGINT) AS lang_size FROM k GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        s AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS size FROM c GROUP BY ALL),
+        r AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(s.size, 0) + 2 * l.v) AS p,
+                     1 + (1000000000 * (k.lang_n + 2)) // (l.lang_size + 2 * l.v) AS q
+              FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value
+              FROM r a JOIN r b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        p AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+        t AS (SELECT lang, source, 'term' AS part, term AS item, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) AS value FROM r WHERE n > 0 AND p > q),
+        x AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM p UNION ALL FROM t))
+        SELECT lang, source, part, item, value, rank FROM x WHERE part = 'pair' OR rank <= 10""",
 }
