@@ -193,3 +193,90 @@ SELECT *, CASE WHEN a_wins > b_wins THEN '✅ Source A is recommended (' || a_wi
 def ab_verdict(spark, sf):
     """Which source wins more issues."""
     return scores.verdict(issue_scorecard(spark, sf))
+
+
+_LISTS = f"""s AS MATERIALIZED (SELECT b_id AS file, a_id AS ref, confidence AS score FROM ({ORACLE_SQL["fingerprint_chain_offset"]}) x)"""
+
+
+def _lists(spark: SparkSession, sf: str):
+    """(scores, refs, files): documents as references, benchmark passages as the files to be told."""
+    from reelwright.session import stored
+
+    found = stored(fingerprint_chain_offset(spark, sf), "chains")
+    scores = found.select(F.col("b_id").alias("file"), F.col("a_id").alias("ref"), F.col("confidence").alias("score"), F.lit(None).cast("string").alias("info"))
+    return scores, table(spark, sf, "documents").select(F.col("doc_id").alias("ref")), table(spark, sf, "benchmark").select(F.col("item_id").alias("file"))
+
+
+@query(f"""WITH {_LISTS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY score DESC, ref) AS INTEGER) AS rank FROM s)
+SELECT 'match' AS kind, file, ref, score, rank FROM r UNION ALL SELECT 'empty', item_id, NULL, NULL, NULL FROM benchmark WHERE item_id NOT IN (SELECT file FROM s)
+UNION ALL SELECT 'unused', NULL, doc_id, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT ref FROM r WHERE rank = 1 AND score >= 0.75)""")
+def match_list(spark, sf):
+    """Every passage's documents by score, passages without any, and documents that are no passage's first match."""
+    from reelwright.operators import matchlists
+
+    return matchlists.listed(*_lists(spark, sf)).drop("info")
+
+
+@query(f"""WITH RECURSIVE {_LISTS}, i AS MATERIALIZED (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark),
+c AS MATERIALIZED (SELECT n, list(struct_pack(o := -score, ref := ref) ORDER BY score DESC, ref) AS refs FROM i LEFT JOIN s ON s.file = item_id AND score >= 0.2 GROUP BY n),
+g AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS file, NULL::BIGINT AS ref, NULL::DOUBLE AS score, []::BIGINT[] AS used
+ UNION ALL SELECT n, item_id, best.ref, -best.o, CASE WHEN best.ref IS NULL THEN used ELSE list_append(used, best.ref) END
+ FROM (SELECT i.n, item_id, used, list_filter(refs, lambda x: x.ref IS NOT NULL AND NOT list_contains(used, x.ref))[1] AS best FROM g JOIN i ON i.n = g.n + 1 JOIN c ON c.n = i.n))
+SELECT CASE WHEN ref IS NULL THEN 'empty' ELSE 'match' END AS kind, file, ref, score, CASE WHEN ref IS NOT NULL THEN 1 END AS rank FROM g WHERE n > 0
+UNION ALL SELECT 'unused', NULL, doc_id, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT ref FROM g WHERE ref IS NOT NULL)""")
+def match_list_in_turn(spark, sf):
+    """Passages in turn take the best document of a score of 0.2 or more that is still free."""
+    from reelwright.operators import matchlists
+
+    return matchlists.listed_in_turn(*_lists(spark, sf), threshold=0.2).drop("info")
+
+
+def _sounds(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's values in order of time as the samples of a file, a second each; users of even ids are references."""
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
+    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("file")).agg(F.transform(ordered, lambda e: e["value"]).alias("samples"))
+    s = s.withColumn("duration", F.size("samples").cast("double"))
+    return s.filter("file % 2 = 0"), s.filter("file % 2 = 1")
+
+
+@query()
+def peak_matches(spark, sf):
+    """From samples to a list of matches by hashes of pairs of spectrogram peaks."""
+    from reelwright.operators import matchlists
+
+    return matchlists.matched("peak_matcher", *_sounds(spark, sf), threshold=0.1, size=8, hop=1, neighbourhood=3)
+
+
+@query()
+def invariant_matches(spark, sf):
+    """The same by hashes of differences of frequency."""
+    from reelwright.operators import matchlists
+
+    return matchlists.matched("invariant_matcher", *_sounds(spark, sf), threshold=0.1, size=8, hop=1, neighbourhood=2)
+
+
+@query()
+def cepstral_matches(spark, sf):
+    """From samples to a list of matches by mel cepstra of files of like duration."""
+    from reelwright.operators import matchlists
+
+    found = matchlists.matched("mfcc", *_sounds(spark, sf), rate=22_050, size=32, hop=8, bands=16)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def template_matches(spark, sf):
+    """From samples to a list of matches by pieces that correlate; a reference is taken once."""
+    from reelwright.operators import matchlists
+
+    found = matchlists.matched("correlation", *_sounds(spark, sf), threshold=0.5, rate=1, count=4, length_s=15.0)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def mel_cepstra(spark, sf):
+    """Thirteen mean cepstral coefficients of each user's values."""
+    from reelwright.operators import audio
+
+    found = audio.cepstra(_sounds(spark, sf)[0].union(_sounds(spark, sf)[1]), rate=22_050, size=32, hop=8, bands=16)
+    return found.select("file", F.transform("features", lambda x: F.round(x, 6)).alias("features"))

@@ -39,3 +39,65 @@ def disc_facts(spark, sf):
     for k, shape in enumerate(shapes):
         line = F.when(which == k, shape).otherwise(line)
     return discs.facts(table(spark, sf, "events").select(F.expr("event_id div 6").alias("disc"), i.alias("n"), line.alias("line")))
+
+
+_PAGE_PATHS = r"""f AS (SELECT regexp_extract(url, '^([a-z]+)://', 1) AS root, array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/]+)', 1), '.')), '/') || '/' || regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) || '/' || page_id || CASE WHEN page_id % 3 = 0 THEN '.ISO' ELSE '.mkv' END AS path FROM pages)"""
+
+
+@query(rf"""WITH {_PAGE_PATHS}, p AS (SELECT root, path, string_split(path, '/') AS p FROM f),
+a AS (SELECT root, array_to_string(p[1:d], '/') AS folder, d AS depth, p[d + 1] AS child, d < len(p) - 1 AS inside FROM (SELECT *, unnest(range(0, len(p))) AS d FROM p)),
+s AS (SELECT root, folder, depth, coalesce(max(child) FILTER (inside AND child = 'fr'), max(child) FILTER (inside AND child = 'de'), max('image') FILTER (NOT inside AND child LIKE '%.ISO')) AS kind FROM a GROUP BY ALL HAVING kind IS NOT NULL AND depth <= 5),
+t AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.root = s.root AND o.depth < s.depth AND (o.folder = '' OR starts_with(s.folder, o.folder || '/'))))
+SELECT root, kind, folder || '/' || kind AS disc, regexp_extract(folder, '([^/]*)$', 1) AS name, folder AS relative FROM t WHERE kind <> 'image'
+UNION ALL SELECT DISTINCT t.root, kind, path, regexp_extract(path, '([^/]*)[.]ISO$', 1), path FROM t JOIN f ON f.root = t.root AND t.kind = 'image' AND starts_with(path, folder || '/') AND NOT contains(substr(path, length(folder) + 2), '/') AND path LIKE '%.ISO'""")
+def disc_roots(spark, sf):
+    """Discs in a tree of folders: pages stand for files, below their host's labels and the language."""
+    from reelwright.sources import paths
+
+    host, lang = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)/", 1)
+    file = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".ISO").otherwise(".mkv"))
+    path = F.concat_ws("/", F.array_join(F.reverse(F.split(host, r"\.")), "/"), lang, file)
+    files = table(spark, sf, "pages").select(F.regexp_extract("url", "^([a-z]+)://", 1).alias("root"), path.alias("path"))
+    return paths.disc_roots(files, markers=("fr", "de"))
+
+
+def _dvd_forms(spark, sf):
+    """Orders as discs and their items as titles, printed in one of the three forms each; some are broken in the first."""
+    i = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("len"), "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string").alias("ix"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    length, flag, state = F.col("len"), F.col("l_returnflag"), F.col("l_linestatus")
+    json = text('{"ix":', F.col("ix"), ',"length":', length, ',"chapters":', F.col("l_linenumber"), ',"vts_id":"', state, '","audio":[{"ix":1,"langcode":"', flag, '"}],"subp":[]}')
+    xml = text('<track ix="', F.col("ix"), '"><length>', length, "</length><chapters>", F.col("l_linenumber"), "</chapters><vts_id>", state, '</vts_id><audio ix="1" langcode="', flag, '"/></track>')
+    line = text("Title: ", F.col("ix"), ", Length: ", length, "  Chapters: ", F.col("l_linenumber"), ", Cells: 2, Audio streams: 1, Subpictures: 0")
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", json.alias("j"), xml.alias("x"), line.alias("t"))
+    of = i.groupBy(F.col("l_orderkey").alias("disc")).agg(F.sort_array(F.collect_list(order)).alias("x"))
+    joined = lambda c, sep: F.array_join(F.transform("x", lambda r: r[c]), sep)
+    kind = F.col("disc") % 4
+    return of.select(
+        "disc", F.when(kind == 0, text('{"device":"d', F.col("disc"), '","track":[', joined("j", ","), "]}")).when(kind == 1, '{"track":[').alias("json"),
+        F.when(kind.isin(0, 1), text('<lsdvd device="d', F.col("disc"), '">', joined("x", ""), "</lsdvd>")).when(kind == 2, "<lsdvd><track>").alias("xml"),
+        text("Disc Title: x\n", joined("t", "\n"), "\nLongest track: 1").alias("text"),
+    )
+
+
+@query("""SELECT l_orderkey AS disc, CASE l_orderkey % 4 WHEN 0 THEN 'JSON' WHEN 1 THEN 'XML' ELSE 'Text Fallback' END AS mode, CASE WHEN l_orderkey % 4 < 2 THEN 'd' || l_orderkey ELSE 'N/A' END AS device,
+CAST(l_linenumber AS VARCHAR) AS number, CAST(CAST(floor(l_quantity) AS INTEGER) AS VARCHAR) AS length, CAST(l_linenumber AS VARCHAR) AS chapters, CASE WHEN l_orderkey % 4 < 2 THEN l_returnflag END AS language,
+CAST(1 AS INTEGER) AS n_audio, CAST(0 AS INTEGER) AS n_subtitles, CASE WHEN l_orderkey % 4 < 2 THEN l_linestatus ELSE '2' END AS other FROM lineitem""")
+def disc_titles(spark, sf):
+    """Titles of discs, whichever form they are printed in."""
+    from reelwright.sources import dvd
+
+    found = dvd.titles(_dvd_forms(spark, sf))
+    other = F.coalesce(F.try_element_at("properties", F.lit("vts_id")), F.try_element_at("properties", F.lit("cells")))
+    return found.select("disc", "mode", "device", "number", "length", "chapters", F.get("audio", F.lit(0))["langcode"].alias("language"), "n_audio", "n_subtitles", other.alias("other"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS disc, l_linenumber AS ix, l_partkey, l_suppkey, CAST(floor(l_quantity) AS INTEGER) AS len, l_returnflag AS f, l_linestatus AS s FROM lineitem WHERE l_orderkey % 4 = 0)
+SELECT disc, string_agg('Ix: 1' || chr(10) || 'Langcode: ' || f || chr(10) || 'Chapters: ' || ix || chr(10) || 'Ix: ' || ix || chr(10) || 'Length: ' || len || chr(10) || 'Subp: []' || chr(10) || 'Vts Id: ' || s, chr(10) ORDER BY ix, l_partkey, l_suppkey) AS titles FROM i GROUP BY disc""")
+def disc_tree(spark, sf):
+    """The tree of each disc printed as JSON, as indented lines, without the line of its device."""
+    from reelwright.sources import dvd
+
+    trees = dvd.trees(_dvd_forms(spark, sf)).filter("mode = 'JSON'")
+    text = dvd.tree_text(dvd.tree_rows(trees))
+    return text.select("disc", F.regexp_replace(F.regexp_replace("text", "^Device: [^\\n]*\\n", ""), "\\n$", "").alias("titles"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +27,24 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, **more: str) ->
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table below root; nothing is read yet, so that filters and columns reach the scan."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one of a local session;
+    on a cluster that is an error, as executors would write where nobody else reads."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="reelwright-")
+        spark.sparkContext.setCheckpointDir(named)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: it survives lost executors, cuts the lineage, and is not
+    computed twice."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,6 +23,38 @@ def streams(probes: DataFrame, path: str = "path", json: str = "json") -> DataFr
     return rows.select(path, "duration", F.col("s.index").alias("index"), F.col("s.codec_type").alias("kind"), F.col("s.codec_name").alias("codec"), "s.channels", F.col("s.sample_rate").try_cast("int").alias("sample_rate"), F.col("s.r_frame_rate").alias("rate"), start.alias("start"), tag("language", "und").alias("language"), tag("title", "").alias("title"))
 
 
+def probed(probes: DataFrame, path: str = "path", json: str = "json") -> DataFrame:
+    """(path, n_streams, error): every probe once. What can't be parsed, or has no list of streams, has an error and none."""
+    parsed = F.from_json(json, PROBE)
+    listed = F.coalesce(F.size(parsed["streams"]) >= 0, F.lit(False)) & parsed["streams"].isNotNull()
+    error = F.when(F.coalesce(F.trim(json), F.lit("")) == "", "no output").when(~listed, "output can't be read")
+    return probes.select(path, F.when(error.isNull(), F.size(parsed["streams"])).otherwise(0).alias("n_streams"), error.alias("error"))
+
+
+def video_starts(probes: DataFrame, path: str = "path", json: str = "json") -> DataFrame:
+    """(path, start) of the first video stream of each probe; null if there is none or its start can't be read."""
+    first = F.get(F.filter(F.from_json(json, PROBE)["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    return probes.select(path, first["start_time"].try_cast("double").alias("start"))
+
+
+def frame_counts(probes: DataFrame, path: str = "path", json: str = "json") -> DataFrame:
+    """(path, frames, fps) of the first video stream: its own count if there is one, else whole frames of the duration."""
+    parsed = F.from_json(json, PROBE)
+    first = F.get(F.filter(parsed["streams"], lambda s: s["codec_type"] == "video"), F.lit(0))
+    rows = probes.select(path, first["nb_frames"].try_cast("long").alias("own"), F.split(first["r_frame_rate"], "/").alias("r"), parsed["format"]["duration"].try_cast("double").alias("duration"))
+    top, bottom = F.get("r", F.lit(0)).try_cast("double"), F.coalesce(F.get("r", F.lit(1)).try_cast("double"), F.lit(1.0))
+    fps = F.when(bottom != 0, top / bottom)
+    return rows.select(path, F.when(F.col("own") > 0, F.col("own")).otherwise(F.floor(F.col("duration") * fps)).alias("frames"), fps.alias("fps"))
+
+
+def start_lines(lines: DataFrame) -> DataFrame:
+    """(path, index, start) of CSV lines (path, line) `index,start`: lines without a whole index are left out, a start that is
+    missing or can't be read is 0."""
+    parts = F.split(F.trim("line"), ",")
+    rows = lines.select("path", F.get(parts, F.lit(0)).try_cast("int").alias("index"), F.coalesce(F.get(parts, F.lit(1)).try_cast("double"), F.lit(0.0)).alias("start"))
+    return rows.filter("index IS NOT NULL")
+
+
 def leading_silence(lines: DataFrame, window_ms: int) -> DataFrame:
     """Of log lines (stream, n, line), the leading silence in ms: from a silence that starts at 0 (within 0.02 s) to its
     end; the whole window if it isn't ended; 0 if there is none."""
