@@ -121,10 +121,8 @@ def find_runs(codes: np.ndarray, lengths: np.ndarray, min_length: int, min_expon
     of = np.repeat(np.arange(len(lengths)), lengths)
     begins, ends, k = (stops - lengths)[of], stops[of], int(codes.max()) + 1
     apart = (len(lengths) - 1 - of) * k
-    roots = []
-    for letters in (apart + codes, apart + (k - 1 - codes)):
-        roots.append(np.stack([np.arange(n), next_smaller(suffix_ranks(letters, ends)) - np.arange(n)], axis=1))
-    i, p = np.unique(np.concatenate(roots), axis=0).T
+    places = np.arange(n)
+    i, p = np.tile(places, 2), np.concatenate([next_smaller(suffix_ranks(letters, ends)) - places for letters in (apart + codes, apart + (k - 1 - codes))])
 
     def hopeful(i: np.ndarray, p: np.ndarray) -> np.ndarray:
         """The words that a run's first root, which starts within the first period, still repeats after one period."""
