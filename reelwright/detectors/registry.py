@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelwright.detectors import banding, colour, compression, edges, upscale
+from reelwright.detectors import banding, colour, compression, edges, fields, geometry, upscale
 
 #: Names of issues. A detector takes a table of colour frames and gives (source, score, summary, worst_s).
 DETECTORS: dict[str, Callable[..., DataFrame]] = {
     "Upscaled Video": upscale.upscaled,
+    "Aspect Ratio": geometry.aspect_ratio,
     "Compression Artifacts": compression.compressed,
     "Color Banding": banding.banded,
     "Ringing / Halos": edges.ringing,
@@ -21,6 +22,7 @@ DETECTORS: dict[str, Callable[..., DataFrame]] = {
     "Color Cast": colour.colour_cast,
     "Over-DNR / Waxiness": edges.waxy,
     "Excessive Sharpening": edges.sharpened,
+    "Ghosting / Blending": fields.ghosting,
 }
 
 

@@ -220,3 +220,18 @@ def stream_progress(spark, sf):
     from reelwright.streaming import progress
 
     return progress.run_available(spark, sf)
+
+
+@query()
+def rip_progress(spark, sf):
+    """Progress, speed and time left of ripping jobs, from lines read as a stream; each user's events stand for a job's lines."""
+    from reelwright.streaming import ripping
+
+    batch = _events(spark, sf)
+    # a streaming source reads folders; a single file is named by a pattern
+    events = spark.readStream.schema(batch.schema).parquet(f"{sf.rstrip('/')}/events.parquet*")
+    line = F.concat(F.lit("PRGV:"), F.floor(F.col("value") * 100).cast("string"), F.lit(",0,65536\n"))
+    chunks = events.select(F.col("user_id").cast("string").alias("job"), F.col("ts").cast("timestamp").alias("at"), F.lit(0).alias("title"), F.lit(1).alias("titles"), F.lit(1 << 30).cast("long").alias("total_bytes"), line.alias("text"))
+    rows = ripping.status(ripping.run_available(chunks)).filter("kind = 'title'")
+    return rows.select("job", F.col("at").cast("timestamp_ntz").alias("at"), "percent", F.round("speed", 6).alias("speed"), "elapsed_s", "eta_s", "status")
+

@@ -64,3 +64,26 @@ def version_alignment(spark, sf):
     second = F.when(F.col("vec_id") % 2 == 0, 25.0).otherwise(24.0)
     v = v.withColumn("final", alignment.robust(F.col("rough.offset"), F.col("rough.confidence"), F.lit(None).cast("double"), F.lit(60.0), F.lit(24.0), second))
     return v.select("vec_id", "frames.shift", F.round("frames.score", 9).alias("score"), *[F.round(f"final.{c}", 9).alias(c) for c in ("offset", "confidence", "drift")])
+
+
+def _versions(spark, sf):
+    """(pairs, frames): each user's values as the sound of a first version, a sample a second, and the same without its first
+    three as a second one; words of values stand for frame hashes, eight values in a row for the pixels of a frame."""
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
+    a = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.transform(ordered, lambda e: e["value"]).alias("a"))
+    both = a.withColumn("b", F.slice("a", 4, F.greatest(F.size("a") - 3, F.lit(0))))
+    word = lambda v, k: F.xxhash64(F.floor(v * 100), F.lit(k))
+    hashes = lambda c: F.flatten(F.transform(c, lambda v: F.array(*[F.array(*[word(v, 4 * half + k) for k in range(4)]) for half in range(2)])))
+    pairs = both.select("id", "a", "b", hashes("a").alias("hashes_a"), hashes("b").alias("hashes_b"), F.size("a").cast("double").alias("duration"), F.lit(1.0).alias("fps_a"), F.lit(1.0).alias("fps_b"))
+    frames = None
+    for side in ("a", "b"):
+        of = both.select("id", F.lit(side).alias("side"), F.posexplode(F.transform(side, lambda _, i, side=side: F.slice(side, i + 1, F.lit(8)))).alias("frame", "pixels"))
+        frames = of if frames is None else frames.union(of)
+    return pairs, frames
+
+
+@query()
+def align_versions(spark, sf):
+    """How far each second version is ahead, by sound, frame hashes and frames."""
+    found = alignment.aligned(*_versions(spark, sf), rate=1.0)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("offset", "confidence", "drift")])

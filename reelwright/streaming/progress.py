@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from reelwright.session import shared_dir
+
 SAMPLES = 10
 
 
@@ -43,12 +45,7 @@ def speeds(events: DataFrame) -> DataFrame:
 
 def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The speeds of all events there are, through a streaming query that ends when it has read them."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="reelwright-")
-    out = f"{root.rstrip('/')}/progress-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
     path = f"{sf_dir.rstrip('/')}/events.parquet"
     batch = spark.read.parquet(path)
     # a streaming source reads folders; a single file is named by a pattern

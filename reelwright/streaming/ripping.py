@@ -8,6 +8,7 @@ total_bytes (of that title) and text. A chunk may end within a line.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from reelwright.functions import scalars as S
+from reelwright.session import shared_dir
 
 #: Samples of speed that are averaged, the least time between two, and the total that a count of zero stands for.
 SAMPLES, GAP_S, TOP = 10, 0.5, 65_536
@@ -179,3 +181,13 @@ def status(rows: DataFrame) -> DataFrame:
 def tail(spark: SparkSession, folder: str, files_at_once: int = 8) -> DataFrame:
     """The chunks that appear as JSON files in a folder, a bounded number of files in each micro-batch."""
     return spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", files_at_once).json(folder)
+
+
+def run_available(chunks: DataFrame) -> DataFrame:
+    """The rows of :func:`progress` over a stream, through a query that ends when it has read what there is; output and state
+    lie in the shared folder."""
+    spark = chunks.sparkSession
+    out = f"{shared_dir(spark)}/ripping-{uuid.uuid4().hex}"
+    job = progress(chunks).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{out}/rows")

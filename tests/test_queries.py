@@ -111,3 +111,26 @@ def test_entry_is_the_flagship(spark):
 
     assert entry.entry(spark).columns == ["a_wins", "b_wins", "issues", "verdict"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rip_progress_is_that_of_a_loop_over_the_lines(spark):
+    want = {}
+    rows = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        rows[r.user_id].append((r.ts, r.value))
+    for user, events in rows.items():
+        events.sort()
+        done, speeds, last, began = 0, [], events[0][0], events[0][0]
+        for ts, value in events:
+            gap = (ts - last).total_seconds()
+            if gap >= 0.5:
+                there = int(math.floor(value * 100) / 65536 * (1 << 30))
+                if there > done:
+                    speeds, done = [*speeds, (there - done) / gap][-10:], there
+                last = ts
+            speed = sum(speeds) / len(speeds) if speeds else 0.0
+            want[str(user), ts] = (speed, int((ts - began).total_seconds()), int(((1 << 30) - done) / speed) if speed else None)
+    got = {(r.job, r.at): (r.speed, r.elapsed_s, r.eta_s) for r in catalogue.QUERIES["rip_progress"](spark, SF).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k][0], want[k][0], abs_tol=1e-3) and got[k][1:2] == want[k][1:2] and (got[k][2] == want[k][2] or abs(got[k][2] - want[k][2]) <= 1) for k in got)
+
