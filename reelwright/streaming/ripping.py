@@ -136,9 +136,9 @@ class Ripping(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         if self.state.exists():
             job = Job(*self.state.get())
-            out = [(key[0], pd.Timestamp(job.last, unit="s"), job.title, *found) for found in job.read("\n", job.last, False)]
+            out = [(key[0], pd.Timestamp(round(job.last * 1_000_000), unit="us"), job.title, *found) for found in job.read("\n", job.last, False)]
             self.state.clear()
-            yield self._frame([*out, (key[0], pd.Timestamp(job.last, unit="s"), job.title, "idle", None, job.percent(), None, None, int(job.last - job.started), None)])
+            yield self._frame([*out, (key[0], pd.Timestamp(round(job.last * 1_000_000), unit="us"), job.title, "idle", None, job.percent(), None, None, int(job.last - job.started), None)])
 
     def close(self) -> None:
         pass
