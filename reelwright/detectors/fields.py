@@ -13,8 +13,9 @@ _NEXT = tuple(f"next_{c}" for c in COLOURS)
 
 
 def scan_totals(lines: DataFrame) -> DataFrame:
-    """(source, tff, bff, progressive, undetermined) of log lines (source, line): sums over all lines with the four counts."""
-    pattern = r"(?i)TFF:(\d+)\s+BFF:(\d+)\s+Progressive:(\d+)\s+Undetermined:(\d+)"
+    """(source, tff, bff, progressive, undetermined) of log lines (source, line): sums over all lines with the four counts,
+    with or without blanks before the numbers."""
+    pattern = r"(?i)TFF:\s*(\d+)\s+BFF:\s*(\d+)\s+Progressive:\s*(\d+)\s+Undetermined:\s*(\d+)"
     names = ("tff", "bff", "progressive", "undetermined")
     counts = [F.regexp_extract("line", pattern, i).try_cast("long").alias(n) for i, n in enumerate(names, 1)]
     return lines.select("source", *counts).groupBy("source").agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in names])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelwright.session import stored
+
 
 def first_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
     """(key, left_id, right_id): every left row with the right row of the smallest id that has the same key.
@@ -39,6 +41,27 @@ def offset_chains(a: DataFrame, b: DataFrame) -> DataFrame:
     return sized.select("a_id", "b_id", "hits", "offset", F.round(F.col("hits") / F.least("a_n", "b_n"), 6).alias("confidence"))
 
 
+#: Up to so many hashes (some 50 MB) the smaller side's are broadcast to find those of the larger side that matter.
+KNOWN = 1_000_000
+
+
+def offset_chains_by_place(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The result of :func:`offset_chains` for fingerprints (id, hashes) in order of their places, b being the smaller side.
+
+    How many different hashes a fingerprint has is counted within its row, and of a's only those that b has leave their
+    task, so that what is shuffled grows with what both share and not with all of a.
+    """
+    placed = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.size(F.array_distinct("hashes")).alias(f"{n}_n"), F.posexplode("hashes").alias("t", "hash"))
+    last = lambda df, n: df.groupBy(f"{n}_id", f"{n}_n", "hash").agg(F.max("t").alias(f"{n}_t"))
+    right = stored(last(placed(b, "b"), "b"), "prints")
+    known = stored(right.select("hash").distinct(), "known-prints")
+    known = F.broadcast(known) if known.count() <= KNOWN else known
+    left = last(placed(a, "a").join(known, "hash", "left_semi"), "a")
+    offsets = left.join(right, "hash").groupBy("a_id", "b_id", "a_n", "b_n", (F.col("b_t") - F.col("a_t")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
+    best = offsets.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.min(F.struct(-F.col("hits"), F.col("offset"))).alias("m"))
+    return best.select("a_id", "b_id", (-F.col("m.col1")).alias("hits"), F.col("m.offset").alias("offset"), F.round(-F.col("m.col1") / F.least("a_n", "b_n"), 6).alias("confidence"))
+
+
 def zone_pairs(peaks: DataFrame, ahead: int, width: int, height: int) -> DataFrame:
     """Of peaks (file, t, f), the pairs (f1, t1, f2, t2) with t2 in [t1 + ahead, t1 + ahead + width) and |f2 - f1| < height.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelwright.operators.fingerprints import warped
+
 
 def sequences(events: DataFrame) -> DataFrame:
     """Each user's values in order of time."""
@@ -47,14 +49,7 @@ def time_warp(seqs: DataFrame) -> DataFrame:
             out = []
             for i, x, y in part.itertuples(index=False):
                 a, b = (np.asarray(v, float) / max(float(np.sum(v)), 1e-12) for v in (x, y))
-                row = np.full(len(b) + 1, np.inf)
-                row[0] = 0.0
-                for v in a:
-                    new = np.full(len(b) + 1, np.inf)
-                    for j, w in enumerate(b, 1):
-                        new[j] = abs(v - w) + min(row[j], new[j - 1], row[j - 1])
-                    row = new
-                out.append((i, round(1 / (1 + float(row[-1])), 6)))
+                out.append((i, round(1 / (1 + warped(a, b)), 6)))
             yield pd.DataFrame(out, columns=["id", "similarity"])
 
     return _pairs(seqs).select("id", "x", "y").mapInPandas(run, "id long, similarity double")

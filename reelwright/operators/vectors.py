@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors serves.
-BLOCK = 512
+#: Queries that one pass over the vectors serves, and groups of vectors that each block of queries is sent to.
+BLOCK, GROUPS = 512, 64
 
 
 def _matrix(values: pa.Array) -> np.ndarray:
@@ -44,6 +44,9 @@ def best_matches(vectors: DataFrame, is_query: Column, digits: int = 6) -> DataF
                     target.extend(values.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["ref", "other", "score"])
 
-    met = parts.join(blocks).select("ids", "vs", "o", "w").mapInArrow(run, "ref long, other long, score double").filter("score > -2")
+    # every block meets every part, by the number of the part's group: no task has more than its groups
+    grouped = parts.withColumn("g", F.pmod(F.xxhash64("p", "q"), F.lit(GROUPS)))
+    sent = blocks.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GROUPS - 1).cast("long"))))
+    met = grouped.join(sent, "g").select("ids", "vs", "o", "w").mapInArrow(run, "ref long, other long, score double").filter("score > -2")
     first = Window.partitionBy("ref").orderBy(F.desc("score"), "other")
     return met.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")

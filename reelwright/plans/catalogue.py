@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from reelwright.plans import matching, pictures, protocols, records, timelines, versions
+from reelwright.plans import logs, matching, pictures, protocols, records, reports, selections, timelines, versions
 
-_MODULES = (matching, timelines, records, versions, protocols, pictures)
+_MODULES = (matching, timelines, records, versions, protocols, pictures, logs, reports, selections)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -56,10 +56,10 @@ def fingerprint_chain_offset(spark, sf):
 
     def prints(name: str, key: str) -> DataFrame:
         w = table(spark, sf, name).select(F.col(key).alias("id"), F.split("text", " ").alias("w")).filter("size(w) >= 8")
-        grams = F.transform(F.slice("w", F.lit(1), F.size("w") - 7), lambda _, i: F.substring(F.sha1(F.array_join(F.slice("w", i + 1, 8), "|")), 1, 20))
-        return w.select("id", F.posexplode(grams).alias("t", "hash"))
+        grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 7, F.lit(0))), lambda _, i: F.substring(F.sha1(F.array_join(F.slice("w", i + 1, 8), "|")), 1, 20))
+        return w.select("id", grams.alias("hashes"))
 
-    return joins.offset_chains(prints("documents", "doc_id"), prints("benchmark", "item_id"))
+    return joins.offset_chains_by_place(prints("documents", "doc_id"), prints("benchmark", "item_id"))
 
 
 _PEAKS = "SELECT user_id AS file, CAST(floor(epoch(ts) / 600) AS BIGINT) AS t, CAST(floor(value) AS BIGINT) AS f FROM events"
@@ -280,3 +280,63 @@ def mel_cepstra(spark, sf):
 
     found = audio.cepstra(_sounds(spark, sf)[0].union(_sounds(spark, sf)[1]), rate=22_050, size=32, hop=8, bands=16)
     return found.select("file", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+def _asked(spark: SparkSession, sf: str, *columns) -> tuple[DataFrame, DataFrame]:
+    """(refs, files): vectors with ids divisible by 50 as references, all others as the files to be told."""
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("file"), *columns)
+    return v.filter("file % 50 = 0"), v.filter("file % 50 <> 0")
+
+
+_CODE = "list_transform(embedding, lambda x: CAST(floor(least(0.999999::DOUBLE, greatest(0.0::DOUBLE, x::DOUBLE + 0.5)) * 4294967296) AS BIGINT))"
+_LISTED = """m AS (SELECT file, ref, score, CAST(row_number() OVER (PARTITION BY file ORDER BY score DESC, ref) AS INTEGER) AS rank FROM s)
+SELECT 'match' AS kind, file, ref, round(score, 6) AS score, rank FROM m
+UNION ALL SELECT 'unused', NULL, vec_id, NULL, NULL FROM embeddings WHERE vec_id % 50 = 0 AND vec_id NOT IN (SELECT ref FROM m WHERE rank = 1 AND score >= 0.6)"""
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_CODE} AS c FROM embeddings), p AS (SELECT f.vec_id AS file, r.vec_id AS ref, list_transform(range(1, 65), lambda i: 32 - bit_count(xor(r.c[i], f.c[i]))) AS e FROM v r JOIN v f ON r.vec_id % 50 = 0 AND f.vec_id % 50 <> 0),
+s AS (SELECT file, ref, list_sum(list_transform(range(0, 18), lambda k: list_sum(e[3 * k + 1 : 3 * k + 12]))) / (32.0::DOUBLE * 12 * 18) AS score FROM p), {_LISTED}""")
+def code_matches(spark, sf):
+    """Lists of matches by codes of sound: 64 codes in 320 seconds, so 12 in a piece and 3 between pieces."""
+    from reelwright.operators import matchlists
+
+    code = F.transform("embedding", lambda x: F.floor(F.least(F.lit(0.999999), F.greatest(F.lit(0.0), x.cast("double") + 0.5)) * (1 << 32)))
+    found = matchlists.matched("chromaprint", *_asked(spark, sf, code.alias("codes"), F.lit(320.0).alias("duration")), threshold=0.6)
+    return found.withColumn("score", F.round("score", 6)).drop("info")
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_CODE} AS c FROM embeddings), o AS (SELECT unnest(range(-5, 6)) AS k),
+p AS (SELECT f.vec_id AS file, r.vec_id AS ref, k, list_transform(range(0, 32 - abs(k)), lambda i: (64 - bit_count(xor(r.c[i + greatest(k, 0) + 1], f.c[i + greatest(-k, 0) + 1])) + 64 - bit_count(xor(r.c[i + greatest(k, 0) + 33], f.c[i + greatest(-k, 0) + 33]))) / 128.0::DOUBLE) AS e
+ FROM v r JOIN v f ON r.vec_id % 50 = 0 AND f.vec_id % 50 <> 0, o),
+s AS (SELECT file, ref, max(list_sum(e) / len(e)) AS score FROM p GROUP BY ALL), {_LISTED}""")
+def frame_hash_matches(spark, sf):
+    """Lists of matches by two hashes of each of 32 frames, shifted by up to five frames."""
+    from reelwright.operators import matchlists
+
+    code = F.transform("embedding", lambda x: F.floor(F.least(F.lit(0.999999), F.greatest(F.lit(0.0), x.cast("double") + 0.5)) * (1 << 32)))
+    frames = F.zip_with(F.slice(code, 1, 32), F.slice(code, 33, 32), lambda p, d: F.struct(F.array(p).alias("p"), F.array(d).alias("d")))
+    found = matchlists.matched("phash", *_asked(spark, sf, frames.alias("frames"), F.lit(60.0).alias("duration")), threshold=0.6, bits=64)
+    return found.withColumn("score", F.round("score", 6)).drop("info")
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_CODE} AS c FROM embeddings),
+s AS (SELECT f.vec_id AS file, r.vec_id AS ref, 1 - list_sum(list_transform(range(1, 65), lambda i: bit_count(xor(r.c[i], f.c[i])))) / 4096.0::DOUBLE AS score FROM v r JOIN v f ON r.vec_id % 50 = 0 AND f.vec_id % 50 <> 0), {_LISTED}""")
+def video_hash_matches(spark, sf):
+    """Lists of matches by one hash of all."""
+    from reelwright.operators import matchlists
+
+    code = F.transform("embedding", lambda x: F.floor(F.least(F.lit(0.999999), F.greatest(F.lit(0.0), x.cast("double") + 0.5)) * (1 << 32)))
+    found = matchlists.matched("videohash", *_asked(spark, sf, code.alias("words")), threshold=0.6)
+    return found.withColumn("score", F.round("score", 6)).drop("info")
+
+
+@query()
+def scene_matches(spark, sf):
+    """Lists of matches by the lengths of scenes: turns of conversations, those with ids divisible by 50 as references."""
+    from reelwright.operators import matchlists
+
+    turns = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("file")).agg(F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("n")))).alias("t"))
+    s = turns.select("file", F.transform("t", lambda t: t["n"].cast("double")).alias("scenes"), F.lit(1.0).alias("duration"))
+    found = matchlists.matched("scene", s.filter("file % 50 = 0"), s.filter("file % 50 <> 0"))
+    return found.withColumn("score", F.round("score", 6)).drop("info")
+

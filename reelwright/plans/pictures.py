@@ -107,7 +107,7 @@ def banding_frames(spark, sf):
 
 
 @query(f"""WITH {_BANDS}, a AS (SELECT source, avg(score) AS mean, max(score) AS peak, 100 * avg(CASE WHEN score > 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS often, arg_min(frame, struct_pack(s := -score, f := frame)) AS worst FROM f GROUP BY 1)
-SELECT source, round(mean, 6) AS score, 'Avg: ' || printf('%.1f', mean) || ' | Peak: ' || printf('%.1f', peak) || ' | Occ: ' || printf('%.1f', often) || '%' AS summary, worst / 24.0::DOUBLE AS worst_s FROM a""")
+SELECT source, round(mean, 6) AS score, 'Avg: ' || printf('%.1f', round(mean, 1)) || ' | Peak: ' || printf('%.1f', round(peak, 1)) || ' | Occ: ' || printf('%.1f', round(often, 1)) || '%' AS summary, worst / 24.0::DOUBLE AS worst_s FROM a""")
 def colour_banding(spark, sf):
     """Banding of each source."""
     found = banding.over_frames(banding.frame_scores(banding.smooth_levels(frames(spark, sf), GREY, below=350.0)), 24.0)
