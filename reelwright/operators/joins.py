@@ -51,9 +51,11 @@ def offset_chains_by_place(a: DataFrame, b: DataFrame) -> DataFrame:
     How many different hashes a fingerprint has is counted within its row, and of a's only those that b has leave their
     task, so that what is shuffled grows with what both share and not with all of a.
     """
-    placed = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.size(F.array_distinct("hashes")).alias(f"{n}_n"), F.posexplode("hashes").alias("t", "hash"))
+    # outer: else a filter on the arrays is inferred, for which they are made once more; their nulls join with nothing
+    counted = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.size(F.array_distinct("hashes")).alias(f"{n}_n"), "hashes")
+    placed = lambda df, n: counted(df, n).select(f"{n}_id", f"{n}_n", F.posexplode_outer("hashes").alias("t", "hash"))
     last = lambda df, n: df.groupBy(f"{n}_id", f"{n}_n", "hash").agg(F.max("t").alias(f"{n}_t"))
-    right = stored(last(placed(b, "b"), "b"), "prints")
+    right = stored(last(placed(b, "b").filter("hash IS NOT NULL"), "b"), "prints")
     known = stored(right.select("hash").distinct(), "known-prints")
     known = F.broadcast(known) if known.count() <= KNOWN else known
     left = last(placed(a, "a").join(known, "hash", "left_semi"), "a")

@@ -15,7 +15,7 @@ def _lines(spark, sf):
     """(source, n, line): what kind of line an event is depends on its type and number, its value is in it."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("n"), "event_type", F.col("value").alias("v"))
     whole, kind = F.floor("v").cast("string"), F.col("event_type")
-    number = F.format_string("%.2f", "v")
+    number = F.format_string("%.5f", F.col("v") * 1.001)
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     line = (
         F.when(kind == "view", text("[Parsed_astats_0 @ 0x55] Peak level dB: -", number)).when(kind == "click", text("[Parsed_astats_1 @ 0x1] Number of samples: ", whole))
@@ -26,8 +26,8 @@ def _lines(spark, sf):
     return e.select("source", "n", line.alias("line"))
 
 
-@query("""WITH e AS (SELECT user_id AS source, event_id AS n, event_type AS t, value AS v FROM events),
-m AS (SELECT source, count(*) FILTER (t = 'view' AND -v >= -0.1) AS clips, coalesce(sum(floor(v)) FILTER (t = 'click'), 0) AS samples, count(*) FILTER (t = 'signup') AS channels, max(v) FILTER (t = 'signup') - min(v) FILTER (t = 'signup') AS spread,
+@query("""WITH e AS (SELECT user_id AS source, event_id AS n, event_type AS t, CAST(printf('%.5f', value * 1.001::DOUBLE) AS DOUBLE) AS v, value AS w FROM events),
+m AS (SELECT source, count(*) FILTER (t = 'view' AND -v >= -0.1) AS clips, coalesce(sum(floor(w)) FILTER (t = 'click'), 0) AS samples, count(*) FILTER (t = 'signup') AS channels, max(v) FILTER (t = 'signup') - min(v) FILTER (t = 'signup') AS spread,
  abs(arg_max(v, n) FILTER (t = 'error' AND n % 2 = 0) - arg_max(v, n) FILTER (t = 'error' AND n % 2 = 1)) AS range_ FROM e GROUP BY 1)
 SELECT source, round(CASE WHEN samples > 0 THEN clips / samples * 100 ELSE 0.0::DOUBLE END, 6) AS clipping, round(coalesce(range_, 12.0::DOUBLE), 6) AS dynamic_range, round(CASE WHEN channels >= 2 THEN spread ELSE 0.0::DOUBLE END, 6) AS imbalance FROM m""")
 def sound_levels(spark, sf):
@@ -35,14 +35,14 @@ def sound_levels(spark, sf):
     return sound.levels(_lines(spark, sf)).select("source", *[F.round(c, 6).alias(c) for c in ("clipping", "dynamic_range", "imbalance")])
 
 
-@query("""WITH e AS (SELECT user_id AS source, event_id AS n, event_type AS t, value AS v FROM events),
-m AS (SELECT source, count(*) FILTER (t = 'view' AND -v >= -0.1) AS clips, coalesce(sum(floor(v)) FILTER (t = 'click'), 0) AS samples, count(*) FILTER (t = 'signup') AS channels, max(v) FILTER (t = 'signup') - min(v) FILTER (t = 'signup') AS spread,
+@query("""WITH e AS (SELECT user_id AS source, event_id AS n, event_type AS t, CAST(printf('%.5f', value * 1.001::DOUBLE) AS DOUBLE) AS v, value AS w FROM events),
+m AS (SELECT source, count(*) FILTER (t = 'view' AND -v >= -0.1) AS clips, coalesce(sum(floor(w)) FILTER (t = 'click'), 0) AS samples, count(*) FILTER (t = 'signup') AS channels, max(v) FILTER (t = 'signup') - min(v) FILTER (t = 'signup') AS spread,
  abs(arg_max(v, n) FILTER (t = 'error' AND n % 2 = 0) - arg_max(v, n) FILTER (t = 'error' AND n % 2 = 1)) AS range_ FROM e GROUP BY 1),
 l AS (SELECT source, CASE WHEN samples > 0 THEN clips / samples * 100 ELSE 0.0::DOUBLE END AS c, coalesce(range_, 12.0::DOUBLE) AS r, CASE WHEN channels >= 2 THEN spread ELSE 0.0::DOUBLE END AS i FROM m),
-j AS (SELECT *, source % 5 <> 0 AS audio, source % 3 = 0 AS fast, list_filter([CASE WHEN c > 0.1 THEN 'Clipping: ' || printf('%.2f', round(c, 2)) || '%' END, CASE WHEN r < 6 THEN 'Low DR: ' || printf('%.1f', round(r, 1)) || 'dB' END, CASE WHEN i > 3 THEN 'Imbalance: ' || printf('%.1f', round(i, 1)) || 'dB' END,
+j AS (SELECT *, source % 5 <> 0 AS audio, source % 3 = 0 AS fast, list_filter([CASE WHEN c > 0.1 THEN 'Clipping: ' || printf('%.2f', c) || '%' END, CASE WHEN r < 6 THEN 'Low DR: ' || printf('%.1f', r) || 'dB' END, CASE WHEN i > 3 THEN 'Imbalance: ' || printf('%.1f', i) || 'dB' END,
  CASE WHEN source % 3 = 0 THEN 'PAL speedup detected' END], lambda x: x IS NOT NULL) AS issues FROM l)
 SELECT source, CASE WHEN audio THEN CAST(30 * (c > 0.1)::INTEGER + 20 * (r < 6)::INTEGER + 15 * (i > 3)::INTEGER + 25 * fast::INTEGER AS DOUBLE) ELSE 0.0::DOUBLE END AS score,
-CASE WHEN audio THEN 'Codec: ac3 | Loudness: -23.0 LUFS | DR: ' || printf('%.1f', round(r, 1)) || 'dB' || CASE WHEN len(issues) > 0 THEN ' | Issues: ' || array_to_string(issues, ', ') ELSE '' END ELSE 'No audio stream found' END AS summary FROM j""")
+CASE WHEN audio THEN 'Codec: ac3 | Loudness: -23.0 LUFS | DR: ' || printf('%.1f', r) || 'dB' || CASE WHEN len(issues) > 0 THEN ' | Issues: ' || array_to_string(issues, ', ') ELSE '' END ELSE 'No audio stream found' END AS summary FROM j""")
 def sound_issues(spark, sf):
     """Points and words for each source's sound; every fifth has none, every third is sped up."""
     lines = _lines(spark, sf)

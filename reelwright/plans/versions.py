@@ -75,11 +75,11 @@ def _versions(spark, sf):
     word = lambda v, k: F.xxhash64(F.floor(v * 100), F.lit(k))
     hashes = lambda c: F.flatten(F.transform(c, lambda v: F.array(*[F.array(*[word(v, 4 * half + k) for k in range(4)]) for half in range(2)])))
     pairs = both.select("id", "a", "b", hashes("a").alias("hashes_a"), hashes("b").alias("hashes_b"), F.size("a").cast("double").alias("duration"), F.lit(1.0).alias("fps_a"), F.lit(1.0).alias("fps_b"))
-    frames = None
-    for side in ("a", "b"):
-        of = both.select("id", F.lit(side).alias("side"), F.posexplode(F.transform(side, lambda _, i, side=side: F.slice(side, i + 1, F.lit(8)))).alias("frame", "pixels"))
-        frames = of if frames is None else frames.union(of)
-    return pairs, frames
+
+    def shown(side: str):
+        return both.select("id", F.lit(side).alias("side"), F.posexplode(F.transform(side, lambda _, i: F.slice(side, i + 1, F.lit(8)))).alias("frame", "pixels"))
+
+    return pairs, shown("a").union(shown("b"))
 
 
 @query()
