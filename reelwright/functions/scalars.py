@@ -108,10 +108,16 @@ def channel_layout(text: Column | str) -> Column:
     return named.when(n.isNotNull(), F.concat(n.cast("string"), F.lit(" Channels")))
 
 
+def title_case(text: Column | str) -> Column:
+    """Every letter that doesn't follow a letter as a capital, all others small: also behind hyphens, digits and marks."""
+    starts = F.split(F.lower(c(text)), r"(?<=[^\p{L}])(?=\p{L})")
+    return F.array_join(F.transform(starts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
+
+
 def language_name(code: Column | str) -> Column:
     """The name of a language code; other codes with a capital, null for null and empty ones."""
     known = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.lower(c(code)))
-    return F.when(c(code) != "", F.coalesce(known, F.initcap(c(code))))
+    return F.when(c(code) != "", F.coalesce(known, title_case(code)))
 
 
 def codec_name(codec_id: Column | str, short: Column | str, long: Column | str, kind: Column | str) -> Column:

@@ -45,3 +45,12 @@ def gap_islands(chapters: DataFrame, key: str, long_from: float) -> DataFrame:
     short = chapters.withColumn("after", F.last(F.when(F.col("length") > long_from, F.col("num")), True).over(Window.partitionBy(key).orderBy("num")))
     inside = short.filter(F.col("length") <= long_from).groupBy(key, "after").agg(F.min("num").alias("first"), F.max("num").alias("last"), F.min_by("num", F.struct("length", "num")).alias("shortest"))
     return gaps.join(inside, [key, "after"]).select(key, "gap", "after", "first", "last", "shortest")
+
+
+def sample_times(duration: Column, n: int = 25, skip: float = 0.15) -> Column:
+    """n times evenly apart, from the share `skip` of a duration (two fifths at most) to as much before its end; null for
+    unknown durations."""
+    edge = min(skip, 0.4)
+    start, stop = duration * edge, duration * (1 - edge)
+    step = (stop - start) / F.lit(float(max(1, n - 1)))
+    return F.when(duration.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: start + i * step))

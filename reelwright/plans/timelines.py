@@ -235,3 +235,10 @@ def rip_progress(spark, sf):
     rows = ripping.status(ripping.run_available(chunks)).filter("kind = 'title'")
     return rows.select("job", F.col("at").cast("timestamp_ntz").alias("at"), "percent", F.round("speed", 6).alias("speed"), "elapsed_s", "eta_s", "status")
 
+
+@query("""WITH d AS (SELECT o_orderkey, o_totalprice / 1000 AS d, unnest(range(0, 25)) AS i FROM orders) SELECT o_orderkey, CAST(i AS INTEGER) AS i, round(d * 0.15::DOUBLE + i * ((d * 0.85::DOUBLE - d * 0.15::DOUBLE) / 24), 11) AS ts FROM d""")
+def hash_times(spark, sf):
+    """Twenty-five times of each file, without its first and last parts."""
+    times = sequences.sample_times(F.col("o_totalprice") / 1000)
+    return table(spark, sf, "orders").select("o_orderkey", F.posexplode(times).alias("i", "ts")).withColumn("ts", F.round("ts", 11))
+

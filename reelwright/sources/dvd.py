@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelwright.functions import scalars as S
 from reelwright.session import stored
 
 #: Fixed format of a line of text. Two blanks stand between length and chapters.
@@ -88,7 +89,7 @@ def titles(forms: DataFrame) -> DataFrame:
 
 def pretty(key: Column) -> Column:
     """A key as a label: underscores are blanks, every word begins with a capital."""
-    return F.initcap(F.replace(key, F.lit("_"), F.lit(" ")))
+    return S.title_case(F.replace(key, F.lit("_"), F.lit(" ")))
 
 
 def tree_rows(trees: DataFrame, key: str = "disc", tree: str = "tree") -> DataFrame:

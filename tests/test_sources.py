@@ -20,7 +20,7 @@ def of(spark, function, *values, kind="string"):
         (S.frames_per_second, {"24000/1001": 24000 / 1001, "25": 25.0, "1/0": 24.0, "x": 24.0, None: 24.0}),
         (S.size_bytes, {"12": 12, "1.5 KB": 1536, "2 mb": 2 << 20, "1 Gb": 1 << 30, "4.5GB": 4831838208, "x": 0, None: 0}),
         (S.channel_layout, {"1": "1.0 (Mono)", "2": "2.0 (Stereo)", "6": "5.1", "8": "7.1", "3": "3 Channels", "x": None, None: None}),
-        (S.language_name, {"ENG": "English", "und": "Undetermined", "gle": "Gle", "": None, None: None}),
+        (S.language_name, {"ENG": "English", "und": "Undetermined", "gle": "Gle", "zh-hans": "Zh-Hans", "x1y ünder": "X1Y Ünder", "": None, None: None}),
         (S.safe_name, {"a/b:c": "a b c", "  ": "Unnamed", None: "Unnamed", "ok": "ok"}),
     ],
 )
