@@ -154,7 +154,8 @@ def progress(chunks: DataFrame, late: str = "10 seconds", idle_s: float = IDLE_S
     and `line` for text, and `idle` once a job has been silent for idle_s of event time, when its state goes.
 
     Chunks older than the watermark are dropped; of those older than what a job has been told, only text is read. Null
-    texts count as empty. A job whose rows are many is one key: its lines have an order.
+    texts count as empty. A job whose rows are many is one key: its lines have an order. The state store of the session is
+    set to RocksDB, which this kind of state needs, and stays so.
     """
     spark = chunks.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
