@@ -215,6 +215,28 @@ def cast_class(a: Column | str, b: Column | str, above: float = 3.0) -> Column:
     return F.when(F.sqrt(x * x + y * y) <= above, "Neutral").when(F.abs(x) > F.abs(y), first).otherwise(second)
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """Rounded by the nearest whole number of x times a power of ten, as SQL databases do; F.round goes by x's shortest decimal
+    text, and is another number where x is next to a half."""
+    return F.round(c(x) * 10.0**digits) / 10.0**digits
+
+
+def fixed(x: Column | str, digits: int) -> Column:
+    """x with so many digits, as C's printf writes it: by x's exact value, halves to even. F.format_string goes by x's shortest
+    decimal text, halves up. For sizes below 1e15."""
+    ten, size = 10.0**digits, F.abs(c(x))
+    near = size * ten
+    # the product's error, exactly, from the halves of x's bits: it tells on which side of a half x is
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    off = (high * ten - near) + (size - high) * ten
+    whole = F.floor(near)
+    past = (near - whole - 0.5) + off
+    n = whole + F.when((past > 0) | ((past == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    sign = F.when((c(x) < 0) | (c(x).cast("string") == "-0.0"), "-").otherwise("")
+    part = F.concat(F.lit("."), F.lpad((n % int(ten)).cast("string"), digits, "0")) if digits else F.lit("")
+    return F.concat(sign, F.floor(n / int(ten)).cast("string") if digits else n.cast("string"), part)
+
+
 def severity_label(score: Column | str) -> Column:
     """The label of a mean score."""
     return F.when(c(score) > 50, "Severe").when(c(score) > 25, "Moderate").when(c(score) > 10, "Mild").otherwise("Minimal")

@@ -255,3 +255,31 @@ def test_bad_frames_and_empty_tables(spark):
         registry.detect(good, ("Unknown",))
     with pytest.raises(ValueError):
         registry.detect(good, ())
+
+
+def test_variance_of_a_thin_plane_counts_cells_mirrored_once():
+    x = np.array([[1.0, 5, 9, 200, 3, 7], [2, 8, 40, 6, 1, 0]])
+    mirrored = lambda at, n: at if 0 <= at < n else -at if at < 0 else 2 * (n - 1) - at
+    for plane in (x, x[:1], x.T, x[:, :2], np.vstack([x, x])):
+        h, w = plane.shape
+        for y in range(h):
+            for k in range(w):
+                cells = [(0 if h == 1 else mirrored(y + dy, h), 0 if w == 1 else mirrored(k + dx, w)) for dy in range(-2, 3) for dx in range(-2, 3)]
+                around = [plane[a, b] for a, b in cells if 0 <= a < h and 0 <= b < w]
+                assert np.isclose(planes.local_variance(plane)[y, k], np.var(around))
+
+
+def test_shares_of_frames_are_rounded_as_sql_does(spark):
+    # the product with ten is a half, the shortest decimal text is below it
+    from reelwright.detectors.common import over_frames
+
+    peak = 0.05 * 0.3 * 10 + 8.2
+    scores = spark.createDataFrame([("a", 0, 8.35), ("b", 0, peak), ("c", 0, 7.6499999999999995)], "source string, frame long, score double")
+    want = {r.source: round_half(r.score) for r in scores.collect()}
+    assert {r.source: r.summary.split()[1] for r in over_frames(scores, 24.0).collect()} == want
+
+
+def round_half(x):
+    import duckdb
+
+    return duckdb.execute("SELECT printf('%.1f', round(?::DOUBLE, 1))", [x]).fetchone()[0]
