@@ -24,7 +24,7 @@ def over_frames(scores: DataFrame, fps: float, above: float = 5.0, graded: bool
         F.avg("score").alias("mean"), F.max("score").alias("peak"), (100 * F.avg((F.col("score") > above).cast("double"))).alias("often"),
         F.min_by("frame", F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), F.col("frame")))).alias("worst"),
     )
-    text = F.format_string("Avg: %.1f | Peak: %.1f | Occ: %.1f%%", "mean", "peak", "often")
+    text = F.format_string("Avg: %.1f | Peak: %.1f | Occ: %.1f%%", *[S.rounded(x, 1) for x in ("mean", "peak", "often")])
     text = F.concat_ws(" | ", S.severity_label("mean"), text) if graded else text
     none = F.col("mean").isNull()
     return of.select("source", F.coalesce("mean", F.lit(0.0)).alias("score"), F.when(none, "Not detected").otherwise(text).alias("summary"), F.when(none, 0.0).otherwise(seconds("worst", fps)).alias("worst_s"))
