@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reelwright.functions import scalars as S
+
 #: Fixed patterns of the loudness summary (over lines), and values where a log has nothing.
 LOUDNESS = {
     "integrated_loudness": r"(?i)Integrated loudness:\s+I:\s+(-?\d+\.?\d*)\s+LUFS", "loudness_range": r"(?i)Loudness range:\s+LRA:\s+(\d+\.?\d*)\s+LU",
@@ -51,9 +53,9 @@ def judged(sources: DataFrame, loud: DataFrame, measured: DataFrame) -> DataFram
     uneven, fast = F.coalesce(F.abs("imbalance") > 3, F.lit(False)), F.coalesce(F.col("sped_up"), F.lit(False))
     points = sum(F.when(c, p).otherwise(0) for c, p in ((clips, 30), (small, 20), (uneven, 15), (fast, 25)))
     issues = F.array_join(F.array_compact(F.array(
-        F.when(clips, F.format_string("Clipping: %.2f%%", "clipping")), F.when(small, F.format_string("Low DR: %.1fdB", "dynamic_range")),
-        F.when(uneven, F.format_string("Imbalance: %.1fdB", "imbalance")), F.when(fast, "PAL speedup detected"),
+        F.when(clips, F.concat(F.lit("Clipping: "), S.fixed("clipping", 2), F.lit("%"))), F.when(small, F.concat(F.lit("Low DR: "), S.fixed("dynamic_range", 1), F.lit("dB"))),
+        F.when(uneven, F.concat(F.lit("Imbalance: "), S.fixed("imbalance", 1), F.lit("dB"))), F.when(fast, "PAL speedup detected"),
     )), ", ")
-    text = F.concat_ws(" | ", F.concat(F.lit("Codec: "), "codec"), F.when(F.col("integrated_loudness").isNotNull(), F.format_string("Loudness: %.1f LUFS", "integrated_loudness")), F.when(F.col("dynamic_range").isNotNull(), F.format_string("DR: %.1fdB", "dynamic_range")), F.when(issues != "", F.concat(F.lit("Issues: "), issues)))
+    text = F.concat_ws(" | ", F.concat(F.lit("Codec: "), "codec"), F.concat(F.lit("Loudness: "), S.fixed("integrated_loudness", 1), F.lit(" LUFS")), F.concat(F.lit("DR: "), S.fixed("dynamic_range", 1), F.lit("dB")), F.when(issues != "", F.concat(F.lit("Issues: "), issues)))
     silent = F.col("codec").isNull()
     return all_.select("source", F.when(silent, 0.0).otherwise(F.least(F.lit(100.0), points.cast("double"))).alias("score"), F.when(silent, "No audio stream found").otherwise(text).alias("summary"))

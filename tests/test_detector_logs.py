@@ -84,3 +84,16 @@ def test_sound_from_logs(spark):
         "bad": (90.0, "Codec: ac3 | Loudness: -18.3 LUFS | DR: 3.5dB | Issues: Clipping: 2.00%, Low DR: 3.5dB, Imbalance: 8.5dB, PAL speedup detected"), "good": (0.0, "Codec: flac | Loudness: -23.0 LUFS | DR: 12.0dB"),
         "quiet": (0.0, "Codec: aac | DR: 12.0dB"), "mute": (0.0, "No audio stream found"), "unmeasured": (0.0, "Codec: dts"),
     }
+
+
+def test_numbers_are_printed_by_their_exact_value(spark):
+    from pyspark.sql import functions as F
+
+    from reelwright.functions import scalars as S
+
+    values = [0.25, 0.35, 1.15, 2.675, -0.25, -0.04, 0.0, -0.0, 5.95, 0.05, 9.95, 99.95, 1234567.85, 0.125, 0.375, 1e-9, *(k / 20 for k in range(400)), *(np.random.default_rng(1).random(200) * 50)]
+    found = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", S.fixed("x", 1).alias("one"), S.fixed("x", 2).alias("two")).collect()
+    assert [(r.one, r.two) for r in found] == [("%.1f" % r.x, "%.2f" % r.x) for r in found]
+    sources = spark.createDataFrame([("s", "ac3", False)], "source string, codec string, sped_up boolean")
+    loud, levels = sources.select("source", F.lit(-23.25).alias("integrated_loudness")), sources.select("source", F.lit(0.0).alias("clipping"), F.lit(1.15).alias("dynamic_range"), F.lit(3.25).alias("imbalance"))
+    assert sound.judged(sources, loud, levels).first().summary == "Codec: ac3 | Loudness: -23.2 LUFS | DR: 1.1dB | Issues: Low DR: 1.1dB, Imbalance: 3.2dB"
