@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.llm import bpe, common, mixing, pii, quality, shingle_sets
+from reelwright.llm import bpe, common, mixing, pii, quality, shingle_sets, simhash
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a similarity of 0.8 and more in five-word shingles, the one with the smallest id."""
-    return shingle_sets.deduplicated(docs)
+    """Of each group of documents linked by SimHash fingerprints, as op3 links them, the one with the smallest id; then, of what
+    is left, the same of those linked by a similarity of 0.8 and more in five-word shingles, which fingerprints can't tell."""
+    return shingle_sets.deduplicated(common.stored(simhash.deduplicated(docs), "fingerprints-kept"))
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,3 +175,11 @@ def components(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     final = stored(named.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component"), "fingerprint-components")
     return marked.join(final, F.col("fp") == F.col("f")).select(f"`{id_col}`", "fp", "component")
 
+
+
+def deduplicated(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component the rows of docs with the smallest id, and the rows without an id."""
+    own = F.col(f"`{id_col}`")
+    found = components(docs.filter(own.isNotNull()), words, id_col, text_col)
+    dropped = stored(found.filter(F.col(f"`{id_col}`") != F.col("component")).select(F.col(f"`{id_col}`").alias("dropped_id_")).distinct(), "fingerprints-dropped")
+    return docs.join(dropped, own == F.col("dropped_id_"), "left_anti")
