@@ -63,20 +63,20 @@ def disc_roots(spark, sf):
 
 def _dvd_forms(spark, sf):
     """Orders as discs and their items as titles, printed in one of the three forms each; some are broken in the first."""
-    i = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("len"), "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string").alias("ix"))
+    i = table(spark, sf, "lineitem")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    length, flag, state = F.col("len"), F.col("l_returnflag"), F.col("l_linestatus")
-    json = text('{"ix":', F.col("ix"), ',"length":', length, ',"chapters":', F.col("l_linenumber"), ',"vts_id":"', state, '","audio":[{"ix":1,"langcode":"', flag, '"}],"subp":[]}')
-    xml = text('<track ix="', F.col("ix"), '"><length>', length, "</length><chapters>", F.col("l_linenumber"), "</chapters><vts_id>", state, '</vts_id><audio ix="1" langcode="', flag, '"/></track>')
-    line = text("Title: ", F.col("ix"), ", Length: ", length, "  Chapters: ", F.col("l_linenumber"), ", Cells: 2, Audio streams: 1, Subpictures: 0")
-    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", json.alias("j"), xml.alias("x"), line.alias("t"))
-    of = i.groupBy(F.col("l_orderkey").alias("disc")).agg(F.sort_array(F.collect_list(order)).alias("x"))
-    joined = lambda c, sep: F.array_join(F.transform("x", lambda r: r[c]), sep)
+    # items are printed after they have met, so that their columns are shuffled and not three texts of each
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").cast("string").alias("length"), "l_linestatus", "l_returnflag")
+    of = i.groupBy(F.col("l_orderkey").alias("disc")).agg(F.sort_array(F.collect_list(item)).alias("x"))
+    as_json = lambda r: text('{"ix":', r["l_linenumber"], ',"length":', r["length"], ',"chapters":', r["l_linenumber"], ',"vts_id":"', r["l_linestatus"], '","audio":[{"ix":1,"langcode":"', r["l_returnflag"], '"}],"subp":[]}')
+    as_xml = lambda r: text('<track ix="', r["l_linenumber"], '"><length>', r["length"], "</length><chapters>", r["l_linenumber"], "</chapters><vts_id>", r["l_linestatus"], '</vts_id><audio ix="1" langcode="', r["l_returnflag"], '"/></track>')
+    as_line = lambda r: text("Title: ", r["l_linenumber"], ", Length: ", r["length"], "  Chapters: ", r["l_linenumber"], ", Cells: 2, Audio streams: 1, Subpictures: 0")
+    joined = lambda line, sep: F.array_join(F.transform("x", line), sep)
     kind = F.col("disc") % 4
     return of.select(
-        "disc", F.when(kind == 0, text('{"device":"d', F.col("disc"), '","track":[', joined("j", ","), "]}")).when(kind == 1, '{"track":[').alias("json"),
-        F.when(kind.isin(0, 1), text('<lsdvd device="d', F.col("disc"), '">', joined("x", ""), "</lsdvd>")).when(kind == 2, "<lsdvd><track>").alias("xml"),
-        text("Disc Title: x\n", joined("t", "\n"), "\nLongest track: 1").alias("text"),
+        "disc", F.when(kind == 0, text('{"device":"d', F.col("disc"), '","track":[', joined(as_json, ","), "]}")).when(kind == 1, '{"track":[').alias("json"),
+        F.when(kind.isin(0, 1), text('<lsdvd device="d', F.col("disc"), '">', joined(as_xml, ""), "</lsdvd>")).when(kind == 2, "<lsdvd><track>").alias("xml"),
+        text("Disc Title: x\n", joined(as_line, "\n"), "\nLongest track: 1").alias("text"),
     )
 
 

@@ -30,37 +30,40 @@ def trees(forms: DataFrame) -> DataFrame:
     df = forms.select("disc", *[full(c).alias(c) for c in ("json", "xml", "text")]).withColumn("parsed", F.try_parse_json("json"))
     # the parser of XML trees fails on what is not well-formed, so that is asked first
     df = df.withColumn("whole", F.when(F.col("parsed").isNull() & _readable_xml("xml"), F.col("xml")))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda x: x.rlike(LINE))
-    mode = F.when(F.col("parsed").isNotNull(), "JSON").when(F.col("whole").isNotNull(), "XML").when(F.size(lines) > 0, "Text Fallback")
-    tree = F.coalesce("parsed", F.when(F.col("whole").isNotNull(), F.expr("from_xml(whole, 'variant')")))
-    return df.select("disc", mode.alias("mode"), tree.alias("tree"), F.when(mode == "Text Fallback", lines).alias("lines"))
-
-
-def _many(tree: str, key: str) -> Column:
-    """The elements below a key: those of an array, or the only one."""
-    one = f"try_variant_get({tree}, '$.{key}', 'variant')"
-    return F.expr(f"coalesce(try_variant_get({tree}, '$.{key}', 'array<variant>'), CASE WHEN {one} IS NOT NULL THEN array({one}) ELSE cast(array() AS array<variant>) END)")
+    # generated code of from_xml to VARIANT doesn't compile; in a lambda it is called by itself, and the rest is compiled
+    from_xml = F.expr("get(transform(array(whole), x -> from_xml(x, 'variant')), 0)")
+    df = df.withColumn("tree", F.coalesce("parsed", F.when(F.col("whole").isNotNull(), from_xml)))
+    lines = F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(LINE))
+    df = df.withColumn("lines", F.when(F.col("parsed").isNull() & F.col("whole").isNull(), lines))
+    mode = F.when(F.col("parsed").isNotNull(), "JSON").when(F.col("whole").isNotNull(), "XML").when(F.size("lines") > 0, "Text Fallback")
+    return df.select("disc", mode.alias("mode"), "tree", F.when(F.size("lines") > 0, F.col("lines")).alias("lines"))
 
 
 def _text(tree: str, *keys: str) -> Column:
     return F.coalesce(*[F.expr(f"try_variant_get({tree}, '$.{k}', 'string')") for k in keys])
 
 
-def _attributes(streams: Column) -> Column:
-    """Each stream's attributes by name; `content` is the text of an element."""
+def _many(tree: str, key: str, kind: str) -> Column:
+    """The elements below a key, those of an array or the only one, each as kind, null where it isn't such a value."""
+    get = lambda t: F.expr(f"try_variant_get({tree}, '$.{key}', '{t}')")
+    return F.coalesce(get(f"array<{kind}>"), F.when(get("variant").isNotNull(), F.array(get(kind))), F.array().cast(f"array<{kind}>"))
+
+
+def _attributes(key: str) -> Column:
+    """The attributes of each stream below a title's key by name; `content` is the text of an element."""
 
     def named(k: Column) -> Column:
         return F.when(k == "_VALUE", "content").otherwise(F.regexp_replace(k, "^_", ""))
 
-    def one(v: Column) -> Column:
-        as_map = F.call_function("try_variant_get", v, F.lit("$"), F.lit("map<string,string>"))
-        return F.transform_keys(F.coalesce(as_map, F.create_map(F.lit("content"), F.call_function("try_variant_get", v, F.lit("$"), F.lit("string")))), lambda k, _: named(k))
-
-    return F.transform(streams, one)
+    content = lambda x: F.create_map(F.lit("content"), x)
+    of_array = F.zip_with(F.col(f"streams.{key}"), F.try_element_at("lists", F.lit(key)), lambda m, x: F.coalesce(m, content(x)))
+    only = F.when(F.map_contains_key("texts", key), F.array(F.coalesce(F.try_element_at("objects", F.lit(key)), content(F.try_element_at("texts", F.lit(key))))))
+    streams = F.coalesce(of_array, only, F.array().cast("array<map<string,string>>"))
+    return F.transform(streams, lambda m: F.transform_keys(m, lambda k, _: named(k)))
 
 
-def _is_nested(v: Column) -> Column:
-    return F.schema_of_variant(v).rlike("^(ARRAY|OBJECT)")
+#: What a title's tree is read as: its values as text, those that are arrays, those that are objects, and streams' attributes.
+PARTS = {"texts": "map<string,string>", "lists": "map<string,array<string>>", "objects": "map<string,map<string,string>>", "streams": "struct<audio: array<map<string,string>>, subp: array<map<string,string>>>"}
 
 
 def titles(forms: DataFrame) -> DataFrame:
@@ -70,21 +73,25 @@ def titles(forms: DataFrame) -> DataFrame:
     audio and subtitles are the streams' attributes, null where a form only counts streams; properties has the other plain
     values of a title. Numbers of XML are read as numbers, so leading zeros are gone.
     """
-    found = trees(forms)
+    # trees and lines are exploded together: each disc is read once, and no filter repeats the parsing below it
     device = F.coalesce(_text("tree", "device", "_device"), F.lit("N/A"))
-    each = found.filter("tree IS NOT NULL").select("disc", "mode", device.alias("device"), F.explode(_many("tree", "track")).alias("t"))
-    values = F.expr("try_variant_get(t, '$', 'map<string,variant>')")
-    plain = F.map_filter(values, lambda k, v: ~_is_nested(v) & ~k.isin("ix", "_ix", "audio", "subp"))
-    properties = F.transform_values(plain, lambda _, v: F.call_function("try_variant_get", v, F.lit("$"), F.lit("string")))
-    of = each.select("disc", "mode", "device", _text("t", "ix", "_ix").alias("number"), _text("t", "length").alias("length"), properties.alias("properties"), _many("t", "chapter").alias("c"), _text("t", "chapters").alias("chapters"), _attributes(_many("t", "audio")).alias("audio"), _attributes(_many("t", "subp")).alias("subtitles"))
-    chapters = F.coalesce("chapters", F.when(F.size("c") > 0, F.size("c").cast("string")))
-    from_trees = of.select("disc", "mode", "device", "number", "length", chapters.alias("chapters"), "audio", "subtitles", F.size("audio").alias("n_audio"), F.size("subtitles").alias("n_subtitles"), "properties")
-    line = found.select("disc", "mode", F.explode("lines").alias("line"))
+    found = trees(forms).select("disc", "mode", device.alias("device"), "lines", *[_many("tree", "track", kind).alias(part) for part, kind in PARTS.items()])
+    fields = ", ".join(f"{part}: {kind}" for part, kind in PARTS.items())
+    from_trees = F.arrays_zip(*PARTS, F.transform("texts", lambda _: F.lit(None).cast("string")).alias("line")).cast(f"array<struct<{fields}, line: string>>")
+    from_lines = F.transform("lines", lambda x: F.struct(*[F.lit(None).cast(kind).alias(part) for part, kind in PARTS.items()], x.alias("line")))
+    each = found.select("disc", "mode", "device", F.explode(F.when(F.col("lines").isNull(), from_trees).otherwise(from_lines)).alias("t")).select("disc", "mode", "device", "t.*")
+    value = lambda k: F.try_element_at("texts", F.lit(k))
+    # texts of arrays and objects begin like that, as those of strings may
+    nested = lambda k, v: F.coalesce(v.rlike(r"^[\[{]"), F.lit(False)) & (F.try_element_at("lists", k).isNotNull() | F.try_element_at("objects", k).isNotNull())
+    properties = F.map_filter("texts", lambda k, v: ~k.isin("ix", "_ix", "audio", "subp") & ~nested(k, v))
+    n_chapters = F.coalesce(F.size(F.try_element_at("lists", F.lit("chapter"))), F.when(F.map_contains_key("texts", "chapter"), 1))
     part = lambda i: F.regexp_extract("line", LINE, i)
-    no_streams = F.lit(None).cast("array<map<string,string>>")
-    from_lines = line.select("disc", "mode", F.lit("N/A").alias("device"), part(1).alias("number"), part(2).alias("length"), part(3).alias("chapters"), no_streams.alias("audio"), no_streams.alias("subtitles"),
-        part(5).cast("int").alias("n_audio"), part(6).cast("int").alias("n_subtitles"), F.create_map(F.lit("cells"), part(4)).alias("properties"))
-    return from_trees.union(from_lines)
+    in_line, no_streams = F.col("line").isNotNull(), F.lit(None).cast("array<map<string,string>>")
+    of = each.select("disc", "mode", "device", F.when(in_line, part(1)).otherwise(F.coalesce(value("ix"), value("_ix"))).alias("number"), F.when(in_line, part(2)).otherwise(value("length")).alias("length"),
+        F.when(in_line, part(3)).otherwise(F.coalesce(value("chapters"), F.when(n_chapters > 0, n_chapters.cast("string")))).alias("chapters"),
+        F.when(in_line, no_streams).otherwise(_attributes("audio")).alias("audio"), F.when(in_line, no_streams).otherwise(_attributes("subp")).alias("subtitles"),
+        F.when(in_line, F.create_map(F.lit("cells"), part(4))).otherwise(properties).alias("properties"), F.when(in_line, part(5).cast("int")).alias("a"), F.when(in_line, part(6).cast("int")).alias("s"))
+    return of.select("disc", "mode", "device", "number", "length", "chapters", "audio", "subtitles", F.coalesce("a", F.size("audio")).alias("n_audio"), F.coalesce("s", F.size("subtitles")).alias("n_subtitles"), "properties")
 
 
 def pretty(key: Column) -> Column:

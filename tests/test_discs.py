@@ -41,6 +41,20 @@ def test_titles_of_all_forms_have_one_schema(forms):
     assert [(r.number, r.n_audio, r.device) for r in found[8]] == [("9", 0, "N/A")] and [(r.number, r.length) for r in found[11]] == [("07", "x")]
 
 
+def test_each_form_is_parsed_once(forms):
+    plan = dvd.titles(forms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("from_xml(VariantType") == 1 and "Union" not in plan
+
+
+def test_streams_and_values_of_any_shape(spark):
+    track = [{"ix": 1, "audio": ["x", None, {"a": [1]}, [2]], "subp": {"b": "c"}, "note": "[x]", "deep": [1], "none": None}, {"audio": None, "subp": "z", "chapter": {"ix": 1}}, 5]
+    df = spark.createDataFrame([(1, json.dumps({"track": track}), None, None)], "disc int, json string, xml string, text string")
+    one, two, three = sorted(dvd.titles(df).collect(), key=lambda r: -r.n_audio)
+    assert one.audio == [{"content": "x"}, {"content": None}, {"a": "[1]"}, {"content": "[2]"}] and one.subtitles == [{"b": "c"}] and one.properties == {"note": "[x]", "none": None}
+    assert (two.audio, two.subtitles, two.chapters, two.properties) == ([{"content": None}], [{"content": "z"}], "1", {})
+    assert (three.number, three.audio, three.n_subtitles, three.properties) == (None, [], 0, None)
+
+
 def plain_rows(tree, depth=0):
     """Labels and values in order of keys; elements of arrays stand in its place."""
     out = []
