@@ -98,6 +98,8 @@ def disc_tree(spark, sf):
     """The tree of each disc printed as JSON, as indented lines, without the line of its device."""
     from reelwright.sources import dvd
 
-    trees = dvd.trees(_dvd_forms(spark, sf)).filter("mode = 'JSON'")
+    # JSON comes first, so whether it can be read doesn't hang on the other forms; they would be parsed to tell the mode of the rest
+    unread = F.lit(None).cast("string")
+    trees = dvd.trees(_dvd_forms(spark, sf).withColumns({"xml": unread, "text": unread})).filter("mode = 'JSON'")
     text = dvd.tree_text(dvd.tree_rows(trees))
     return text.select("disc", F.regexp_replace(F.regexp_replace("text", "^Device: [^\\n]*\\n", ""), "\\n$", "").alias("titles"))

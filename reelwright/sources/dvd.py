@@ -103,26 +103,25 @@ def tree_rows(trees: DataFrame, key: str = "disc", tree: str = "tree") -> DataFr
     """(key, path, depth, label, value): a row for each entry of a VARIANT tree, value null for those with entries of their own.
     path orders the rows of a tree. Entries of an object are in order of their keys; the elements of an array stand in its
     place, as entries beside each other. Trees are gone down level by level, all at once, as deep as the deepest is."""
-    kind = trees.schema[key].dataType.simpleString()
-    get = lambda v, t: F.call_function("try_variant_get", v, F.lit("$"), F.lit(t))
-    level = trees.filter(F.col(tree).isNotNull()).select(F.col(key).alias("key"), F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("label"), F.col(tree).alias("v"))
+    spark, kind = trees.sparkSession, trees.schema[key].dataType.simpleString()
+    # sizes of what is an array or an object, else null; what is in them is not gone through
+    size = lambda t: F.size(F.try_variant_get("v", "$", f"{t}boolean>"))
+    level = trees.filter(F.col(tree).isNotNull()).select(F.col(key).alias("above"), F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("label"), F.col(tree).alias("v"))
     out: list[DataFrame] = []
     while True:
-        # entries of objects, and elements of arrays under the array's own label
-        entries = level.select("key", "path", "depth", F.lit(None).cast("string").alias("above"), F.posexplode(F.map_entries(get(F.col("v"), "map<string,variant>"))).alias("at", "e")).select("key", "path", "depth", "at", pretty(F.col("e.key")).alias("label"), F.col("e.value").alias("v"), F.lit(False).alias("element"))
-        elements = level.select("key", "path", "depth", "label", F.posexplode(get(F.col("v"), "array<variant>")).alias("at", "v")).select("key", "path", "depth", "at", "label", "v", F.lit(True).alias("element"))
-        shape = F.schema_of_variant("v")
-        filled = F.when(shape.startswith("OBJECT"), F.size(get(F.col("v"), "map<string,variant>")) > 0).when(shape.startswith("ARRAY"), F.size(get(F.col("v"), "array<variant>")) > 0).otherwise(False)
-        both = entries.union(elements).withColumns({"path": F.concat("path", F.array("at")), "shape": shape, "filled": filled})
-        both = stored(both.select("key", "path", "depth", "label", F.to_json("v").alias("j"), "shape", "filled", "element", F.when(~F.col("filled"), get(F.col("v"), "string")).alias("value")), "tree-level")
+        # entries of objects, and elements (without a key) of arrays under the array's own label
+        entries = level.withColumnRenamed("v", "whole").lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
+        entries = entries.select("above", F.concat("path", F.array("pos")).alias("path"), "depth", F.when(F.col("key").isNull(), F.col("label")).otherwise(pretty(F.col("key"))).alias("label"), F.col("key").isNull().alias("element"), F.col("value").alias("v"))
+        both = entries.withColumns({"listed": size("array<"), "named": size("map<string,")}).withColumn("filled", F.coalesce("listed", "named", F.lit(0)) > 0)
+        value = F.when(~F.col("filled"), F.when(F.col("named") == 0, "{}").when(F.col("listed") == 0, "[]").otherwise(F.coalesce(F.try_variant_get("v", "$", "string"), F.lit("None"))))
+        both = stored(both.select("above", "path", "depth", "label", "element", "filled", F.col("named").isNotNull().alias("is_object"), value.alias("value"), F.when(F.col("filled"), F.col("v")).alias("v")), "tree-level")
         # arrays, and objects that are elements, have no row of their own
-        is_object = F.col("shape").startswith("OBJECT")
-        own = both.filter(~F.col("filled") | (is_object & ~F.col("element")))
-        out.append(own.select("key", "path", "depth", "label", F.when(~F.col("filled"), F.coalesce("value", F.when(F.col("shape").startswith("OBJECT"), "{}").when(F.col("shape").startswith("ARRAY"), "[]").otherwise("None"))).alias("value")))
+        own = both.filter("NOT filled OR is_object AND NOT element")
+        out.append(own.select(F.col("above").alias("key"), "path", "depth", "label", "value"))
         below = both.filter("filled")
         if not below.head(1):
             break
-        level = below.select("key", "path", (F.col("depth") + (is_object & ~F.col("element")).cast("int")).alias("depth"), "label", F.parse_json("j").alias("v"))
+        level = below.select("above", "path", (F.col("depth") + F.expr("is_object AND NOT element").cast("int")).alias("depth"), "label", "v")
     rows = out[0]
     for more in out[1:]:
         rows = rows.union(more)

@@ -82,6 +82,22 @@ def test_trees_of_any_depth_as_rows_and_text(spark):
     assert rows.filter("disc > 2").count() == 0
 
 
+def test_values_print_alike_at_every_depth(spark):
+    df = spark.createDataFrame([(1, '{"a": 1e2, "b": {"c": 1e2, "d": [{"e": [1e2, {}]}]}}')], "disc int, json string").select("disc", F.try_parse_json("json").alias("tree"))
+    found = [(r.depth, r.label, r.value) for r in dvd.tree_rows(df).orderBy("path").collect()]
+    assert found == [(0, "A", "100.0"), (0, "B", None), (1, "C", "100.0"), (1, "E", "100.0"), (1, "E", "{}")]
+
+
+def test_the_tree_query_reads_no_other_form(spark, monkeypatch):
+    from reelwright.plans import protocols
+
+    seen = []
+    monkeypatch.setattr(dvd, "tree_rows", lambda trees: seen.append(trees) or trees.selectExpr("disc", "array(0) AS path", "0 AS depth", "'x' AS label", "'y' AS value"))
+    protocols.disc_tree(spark, "/root/testdata/sf0.001")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "parseJson" in plan and "from_xml" not in plan and "Cells: 2" not in plan
+
+
 def plain_discs(files, max_depth=5):
     """By going down the tree."""
     tree = {}
