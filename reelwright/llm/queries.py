@@ -55,7 +55,7 @@ def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.deduplicate(_table(spark, sf_dir, "documents"))
+    return suffixes.deduplicate(_table(spark, sf_dir, "documents"), shared_words=True)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,10 @@ A suffix array of a whole corpus would be many times its size. Only the suffixes
 
 A q-gram's bucket with too many different surroundings for one task is first split by ranges of offsets and what all
 strings of such a range have in common, again and again.
+
+Passages of over 50 words are often shorter than 400 bytes. On demand, the words of those that texts share are counted,
+by the same steps on words: each 51 words have a certain 12-gram of their own, and only those whose 12-gram stands in
+another text are compared, by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.llm.common import discard, stored
@@ -33,6 +37,8 @@ LENGTH, GRAM, PREFIX = 400, 64, 100
 REACH = LENGTH - GRAM
 #: Windows of a text that are hashed at once, and different surroundings that a task takes of one bucket.
 CHUNK, MOST = 1 << 19, 10_000
+#: Words of a passage that texts share, and of the grams that it is found by.
+WORDS, WORD_GRAM = 51, 12
 #: Identifiers that a task makes at once (some 60 bytes each).
 CELLS = 700_000
 #: Surroundings, and bytes of remaining text, that a task hands over at once.
@@ -273,8 +279,92 @@ def _cut(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(lists, "tid").select("tid", "text", "places").mapInArrow(run, "tid binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = False) -> DataFrame:
-    """Per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256 and, with kept, the remaining bytes.
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word."""
+    data = np.frombuffer(text, np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = (data != 32) & (data - np.uint8(9) > 4)
+    begin, end = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+    out = np.empty(len(begin), np.uint64)
+    up, down = _powers(1 << 20)
+    at = 0
+    while at < len(out):
+        first = begin[at]
+        stop = int(np.searchsorted(end, first + CHUNK, "right"))
+        if stop > at:
+            b, e = begin[at:stop] - first, end[at:stop] - first
+            sums = np.zeros(e[-1] + 1, np.uint64)
+            np.cumsum(data[first : first + e[-1]] * up[: e[-1]], out=sums[1:])
+            out[at:stop] = _scrambled((sums[e] - sums[b]) * down[b] + (e - b).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        else:  # a word longer than a chunk
+            stop = at + 1
+            out[at] = int.from_bytes(hashlib.blake2b(text[first : end[at]], digest_size=8).digest(), "little")
+        at = stop
+    return out
+
+
+def rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n words in turn."""
+    out = [np.empty(0, np.uint64)]
+    up, down = _powers(1 << 20)
+    for at in range(0, len(words) - n + 1, CHUNK):
+        part = words[at : at + CHUNK + n - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        out.append(_scrambled((sums[n:] - sums[:-n]) * down[: len(sums) - n]))
+    return np.concatenate(out)
+
+
+def own_word_grams(words: np.ndarray) -> np.ndarray:
+    """The hash of the own gram of each WORDS words in turn: the smallest one in them."""
+    few = len(words) < WORDS
+    return np.empty(0, np.int64) if few else _smallest(rolled(words, WORD_GRAM), WORDS - WORD_GRAM + 1).view(np.int64)
+
+
+def _word_grams(texts: DataFrame) -> DataFrame:
+    """tid, n_words and the grams that are some passage's own, of each of the texts (tid, text as binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [word_hashes(text.as_py()) for text in batch.column(1)]
+            grams = pa.array([np.unique(own_word_grams(w)) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), grams], ["tid", "n_words", "grams"])
+
+    return texts.mapInArrow(run, "tid binary, n_words long, grams array<long>")
+
+
+def _passages_of(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """s (xxhash64 of tid), start (number of the first word) and hash of the passages whose own gram is listed for their
+    text (tid, grams)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s, text, grams in zip(*batch.columns, strict=True):
+                words = word_hashes(text.as_py())
+                start = np.flatnonzero(np.isin(own_word_grams(words), grams.values.to_numpy()))
+                found = rolled(words, WORDS).view(np.int64)[start]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), s.as_py(), np.int64)), pa.array(start.astype(np.int32)), pa.array(found)], ["s", "start", "hash"])
+
+    return texts.join(lists, "tid").select(F.xxhash64("tid").alias("s"), "text", "grams").mapInArrow(run, "s long, start int, hash long")
+
+
+def _in_several(df: DataFrame, key: str) -> DataFrame:
+    """The keys that more than one text (s) has, as column k."""
+    return df.groupBy(key).agg(F.min("s").alias("s1"), F.max("s").alias("s2")).filter("s1 <> s2").select(F.col(key).alias("k"))
+
+
+def _shared_words(found: DataFrame) -> DataFrame:
+    """s and n (words in passages that another text has too) of the texts of found (s, start, hash)."""
+    twice = stored(_in_several(found, "hash"), "shared-passages")
+    shared = found.join(twice, F.col("hash") == F.col("k"), "left_semi")
+    after = F.lead("start").over(Window.partitionBy("s").orderBy("start"))
+    covered = F.least(F.lit(WORDS), F.coalesce(after - F.col("start"), F.lit(WORDS)))
+    return shared.select("s", covered.alias("words")).groupBy("s").agg(F.sum("words").alias("n"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: bool = False, shared_words: bool = False) -> DataFrame:
+    """Per row of docs: id_col, n_bytes, n_removed, n_spans, kept_sha256; with shared_words, n_shared_words (words that
+    stand in WORDS consecutive words which another row has too); with kept, the remaining bytes.
 
     A byte is removed if a string of LENGTH bytes covers it that also starts anywhere else, in this or another row;
     overlapping occurrences count. A null text is an empty one; texts shorter than LENGTH keep everything; of equal
@@ -303,7 +393,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = stored(told.filter("NOT twice").select(F.col("bucket").alias("b")).distinct(), "open-buckets")
     sides = told.filter("x = x1").join(open_, F.col("bucket") == F.col("b"), "left_semi").select("tid", "bucket", "pos", "lo", "hi", (~F.col("twice")).alias("report")).distinct()
     sides = stored(sides, "open")
-    wanted = whole.select("tid").union(sides.select("tid")).distinct()
+    wanted = whole.select("tid").union(sides.select("tid"))
+    if shared_words:
+        words = stored(_word_grams(rows.select("tid", "text")), "word-grams")
+        each_gram = words.select("tid", F.xxhash64("tid").alias("s"), F.explode("grams").alias("gram"))
+        several = stored(_in_several(each_gram, "gram"), "shared-word-grams")
+        listed = each_gram.join(several, F.col("gram") == F.col("k"), "left_semi")
+        listed = stored(listed.groupBy("tid").agg(F.collect_set("gram").alias("grams")), "listed-word-grams")
+        wanted = wanted.union(listed.select("tid"))
+    wanted = wanted.distinct()
     # copies are put together before texts are dealt out
     texts = stored(rows.groupBy("tid").agg(F.first("text").alias("text")).join(wanted, "tid", "left_semi"), "repeated-texts")
     ready, spans = _split_large(texts, sides)
@@ -321,6 +419,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     out = [F.col("id").alias(id_col), "n_bytes", pick(F.col("n_bytes"), "n_removed", zero).alias("n_removed"), pick(one, "n_spans", zero).alias("n_spans"), pick(F.lit(hashlib.sha256().hexdigest()), "kept_sha256", F.col("whole")).alias("kept_sha256")]
+    if shared_words:
+        passages_ = stored(_passages_of(texts, listed), "passages")
+        shared_ = stored(_shared_words(passages_), "shared-words")
+        discard(passages_, listed, several)
+        same_ = words.groupBy(F.col("tid").alias("w")).agg(F.count(F.lit(1)).alias("rows"), F.max("n_words").alias("n_words"))
+        same_ = stored(same_.filter(f"rows > 1 AND n_words >= {WORDS}"), "copied-words")
+        all_ = all_.join(shared_, F.xxhash64("tid") == F.col("s"), "left").join(same_, F.col("tid") == F.col("w"), "left")
+        out.append(F.coalesce("n_words", "n", zero).alias("n_shared_words"))
     if not kept:
         return all_.select(*out)
     originals = rows.select(F.col("id").alias("i"), F.col("tid").alias("o"), "text").dropDuplicates(["i", "o"])

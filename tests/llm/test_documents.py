@@ -10,7 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from reelwright.llm import chat, mixing, pii, quality, suffixes, warc
+from reelwright.llm import chat, mixing, pii, quality, queries, suffixes, warc
 from reelwright.llm.common import new_folder
 
 from .conftest import frame
@@ -79,6 +79,47 @@ def test_repeats_of_real_documents(documents):
     assert by_id(map(tuple, suffixes.deduplicate(few).collect())) == want
 
 
+def shared_by_brute_force(texts, length=suffixes.WORDS):
+    words = [WORD.findall(t or "") for t in texts]
+    holders = defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - length + 1):
+            holders[tuple(w[i : i + length])].add(k)
+    return [len({j for i in range(len(w) - length + 1) if len(holders[tuple(w[i : i + length])]) > 1 for j in range(i, i + length)}) for w in words]
+
+
+def numbered(a, b, mark=""):
+    return [f"{mark}{i}" for i in range(a, b)]
+
+
+SHARED = [
+    (1, " ".join(numbered(0, 30, "a") + numbered(0, 51, "p") + numbered(0, 9, "b")), "a"), (2, "\n".join(numbered(0, 51, "p")), "a"),  # under 400 bytes, other white space
+    (3, " ".join(numbered(0, 50, "q") + numbered(0, 9, "c")), "a"), (4, " ".join(numbered(0, 50, "q")), "a"),  # 50 words only
+    (5, " ".join(numbered(0, 80, "r") * 2), "a"), (6, " ".join(["no"] * 90), "a"), (7, "yes " + " ".join(["no"] * 60), "a"),  # in one text alone; one word again and again
+    (8, " ".join(numbered(0, 60, "é")), "a"), (8, " ".join(numbered(0, 60, "é")), "a"), (None, " ".join(numbered(0, 40, "s")), "a"), (9, " ".join(numbered(0, 40, "s")), "a"),  # copies
+    (10, " ".join(numbered(0, 400, "t")), "a"), (11, " ".join(numbered(20, 90, "t") + numbered(0, 5, "u") + numbered(150, 330, "t") + numbered(0, 20, "p")), "a"),
+    (12, None, "a"), (13, "", "a"), (14, "v" * 900 + " " + " ".join(numbered(0, 55, "w")), "a"), (15, "v" * 900 + " " + " ".join(numbered(0, 50, "w")), "a"), (16, "v" * 901 + " " + " ".join(numbered(0, 50, "w")), "a"),
+]
+
+
+@pytest.mark.parametrize("chunk", [suffixes.CHUNK, 700])
+def test_shared_words_are_those_of_brute_force(spark, awkward, documents, monkeypatch, chunk):
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    for docs in (frame(spark, SHARED), awkward, documents.filter("doc_id < 150")):
+        rows = texts_of(docs)
+        want = by_id((i, n) for (i, _, _), n in zip(rows, shared_by_brute_force([t for _, t, _ in rows]), strict=True))
+        found = suffixes.deduplicate(docs, shared_words=True)
+        assert by_id((r.doc_id, r.n_shared_words) for r in found.collect()) == want
+        assert by_id(map(tuple, found.drop("n_shared_words").collect())) == by_id(map(tuple, suffixes.deduplicate(docs).collect()))
+
+
+def test_passages_too_short_to_be_removed_are_told(spark, tmp_path):
+    """Passages of over 50 words but under 400 bytes stay, as the contract of op9 has it; its last column tells them."""
+    frame(spark, SHARED).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op9_repeats(spark, str(tmp_path)).filter("doc_id < 5").collect()}
+    assert [(found[i].n_removed, found[i].n_shared_words) for i in (1, 2, 3, 4)] == [(0, 51), (0, 51), (0, 0), (0, 0)]
+
+
 # --- personal data
 
 PATTERNS = {
